@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hopframe.llm.common import table
 from hopframe.llm.neardup import near_duplicates
+from hopframe.llm.substring import drop_repeated_passages
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
-QUERIES = {"op2_minhash_dedup": op2_minhash_dedup}
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_passages(table(spark, sf_dir, "documents"), width=20)
+
+
+QUERIES = {"op2_minhash_dedup": op2_minhash_dedup, "op7_repeated_passages": op7_repeated_passages}
 ORACLE_SQL: dict[str, str] = {}
