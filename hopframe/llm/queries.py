@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hopframe.llm.common import table
 from hopframe.llm.neardup import near_duplicates
+from hopframe.llm.quality_rules import quality_verdicts
+from hopframe.llm.secrets import scan_secrets
 from hopframe.llm.substring import drop_repeated_passages
 
 
@@ -13,9 +15,17 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(table(spark, sf_dir, "documents"), width=20)
 
 
-QUERIES = {"op2_minhash_dedup": op2_minhash_dedup, "op7_repeated_passages": op7_repeated_passages}
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op4_divergence_rules, op6_secret_scan, op7_repeated_passages)}
 ORACLE_SQL: dict[str, str] = {}
