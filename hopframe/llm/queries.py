@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hopframe.llm.common import table
+from hopframe.llm.mixing import mix_sources
 from hopframe.llm.neardup import near_duplicates
+from hopframe.llm.packing import pack_documents
 from hopframe.llm.quality_rules import quality_verdicts
 from hopframe.llm.secrets import scan_secrets
 from hopframe.llm.substring import drop_repeated_passages
@@ -15,6 +17,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -27,5 +33,9 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(table(spark, sf_dir, "documents"), width=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op4_divergence_rules, op6_secret_scan, op7_repeated_passages)}
+def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_mix_sources, op4_divergence_rules, op6_secret_scan, op7_repeated_passages, op10_length_buckets)}
 ORACLE_SQL: dict[str, str] = {}
