@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hopframe.llm.common import table
+from hopframe.llm.htmltext import extract_pages
 from hopframe.llm.mixing import mix_sources
 from hopframe.llm.neardup import near_duplicates
 from hopframe.llm.packing import pack_documents
@@ -13,6 +14,10 @@ from hopframe.llm.secrets import scan_secrets
 from hopframe.llm.substring import drop_repeated_passages
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -37,5 +42,5 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_mix_sources, op4_divergence_rules, op6_secret_scan, op7_repeated_passages, op10_length_buckets)}
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_minhash_dedup, op3_mix_sources, op4_divergence_rules, op6_secret_scan, op7_repeated_passages, op10_length_buckets)}
 ORACLE_SQL: dict[str, str] = {}

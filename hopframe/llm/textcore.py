@@ -21,6 +21,9 @@ _INV_BASE = pow(_BASE, -1, 1 << 64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: everything but letters of ASCII and bytes of other code points
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -54,10 +57,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """Whole texts ``lo..hi`` of a batch with their bytes and word positions."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, space: np.ndarray = SPACE):
         self.data, self.offsets, self.lo = data, offsets, lo
         self.n = len(offsets) - 1
-        is_word = ~SPACE[data]
+        is_word = ~space[data]
         firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
         before = np.empty(len(data), bool)
         if len(data):
@@ -106,7 +109,7 @@ def window_hashes(words: np.ndarray, first: np.ndarray, width: int) -> np.ndarra
     return mix((total[first + width] - total[first]) * down[first] + U64(width))
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(column: pa.Array | pa.ChunkedArray, block_bytes: int = BLOCK_BYTES, space: np.ndarray = SPACE) -> Iterator[Block]:
     """The texts of an Arrow string column (null counts as empty) in blocks of whole texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -123,7 +126,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, block_bytes: int = BLOCK_BYTES) -
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + block_bytes, "right")) - 1
         hi = min(max(hi, lo + 1), n)
-        yield Block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo)
+        yield Block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo, space)
         lo = hi
 
 
