@@ -1,16 +1,17 @@
 """MinHash near-duplicate classes with odd sketches.
 
 1. One Python pass turns every whole text into its set of word shingles (64-bit hashes),
-   ``bands * rows`` MinHash samples, their band keys, and an odd sketch: each sample
-   (index, value) flips one bit of a 512-bit bitmap, so the population count of the XOR of
-   two sketches estimates how many samples differ.
+   512 MinHash samples, the band keys of the first ``bands * rows``, and an odd sketch: each
+   sample (index, value) flips one bit of a 2048-bit bitmap, so the population count of the
+   XOR of two sketches estimates how many samples differ.
 2. Rows with one and the same set form a node; only nodes take part further on.
-3. Within each band bucket every node is proposed to the bucket's smallest node (linear in
-   the bucket, no pairs inside it).  The sketch drops pairs six deviations below the
-   threshold; the rest are confirmed on the full sets.
-4. Star contraction gives components.  Nodes that share a bucket but ended in different
-   components are proposed to each other (sketch first, then full sets) and the components
-   are joined again, so the star shape of step 3 loses no link.
+3. Within each band bucket every node is proposed to one hub, which each bucket draws by a
+   hash of its own, so a node of a large group meets many hubs (linear in the bucket, no
+   pairs inside it).  Sizes and sketches (4.5 deviations below the threshold) drop pairs;
+   the rest are confirmed on the full sets.
+4. Star contraction gives components.  Nodes apart from their bucket's hub meet four more
+   hubs of each bucket.  Those still apart are at last proposed to all nodes of other
+   components in their buckets (sketch first, then full sets), so hubs lose no link.
 """
 
 from __future__ import annotations
@@ -28,9 +29,13 @@ from hopframe.llm.components import connected_components
 from hopframe.llm.textcore import U64, blocks, list_array, mix, window_hashes
 
 ROWS = 5
-SKETCH_BITS = 512
+SAMPLES = 512
+SKETCH_BITS = 2048
+MORE_HUBS = 4
+#: ids up to which they are sent to the texts; beyond it texts and ids are dealt by id
+MOST_SENT = 1_000_000
 MISS = 1e-6
-CHUNK = 4096
+CHUNK = 256
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -38,12 +43,17 @@ def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
 
 
-def sketch_limit(threshold: float, samples: int) -> int:
-    """Most differing sketch bits that a pair at the threshold shows, with six deviations to spare."""
-    low = max(threshold - 6 * math.sqrt(threshold * (1 - threshold) / samples), 0.05)
-    flips = 2 * samples * (1 - low)
-    mean = SKETCH_BITS / 2 * (1 - math.exp(-2 * flips / SKETCH_BITS))
-    return math.ceil(mean + 4 * math.sqrt(mean))
+def sketch_limit(threshold: float, samples: int, deviations: float = 4.5) -> int:
+    """Most differing sketch bits that a pair at the threshold shows, that many deviations above the mean.
+
+    The samples that differ are binomial; each flips two of the bits, and what two flips of one
+    bit hide is a second, smaller source of spread.
+    """
+    flips = 2 * samples * (1 - threshold)
+    shown = math.exp(-2 * flips / SKETCH_BITS)
+    spread = 2 * shown * math.sqrt(samples * threshold * (1 - threshold))
+    hidden = math.sqrt(SKETCH_BITS / 4 * (1 - shown) ** 2)
+    return math.ceil(SKETCH_BITS / 2 * (1 - shown) + deviations * math.hypot(spread, hidden))
 
 
 def shingle_sets(block, words: int, lower: bool = True) -> Iterator[np.ndarray]:
@@ -67,7 +77,7 @@ def set_node(grams: np.ndarray) -> int:
 
 
 def signer(words: int, bands: int, rows: int):
-    samples = bands * rows
+    samples = max(SAMPLES, bands * rows)
     seeds = mix(np.arange(1, 2 * samples + 1, dtype=U64) * U64(0x9FB21C651E98DF25))
     mult = (seeds[:samples] >> U64(32)).astype(np.uint32) | np.uint32(1)
     plus = (seeds[samples:] >> U64(32)).astype(np.uint32)
@@ -80,7 +90,7 @@ def signer(words: int, bands: int, rows: int):
         best = np.full(samples, 0xFFFFFFFF, np.uint32)
         for i in range(0, len(low), CHUNK):
             np.minimum(best, (low[i : i + CHUNK, None] * mult + plus).min(axis=0), out=best)
-        keys = mix(mix(best.astype(U64).reshape(bands, rows) * weights).sum(axis=1) + band_no)
+        keys = mix(mix(best[: bands * rows].astype(U64).reshape(bands, rows) * weights).sum(axis=1) + band_no)
         bits = np.bincount((mix(best.astype(U64) | index) % U64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
         return keys.view(np.int64), np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -130,6 +140,15 @@ def _sketch_near(a: str, b: str, limit: int):
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0)) <= limit
 
 
+def _drawn(no: int):
+    """A bucket's hub by draw ``no``: the node of least hash."""
+    return F.min(F.struct(F.xxhash64("key", "node", F.lit(no)).alias("draw"), "node"))
+
+
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose full sets share at least ``percent`` of their union."""
     a = sets.select(F.col("node").alias("u"), F.col("grams").alias("ga"))
@@ -149,46 +168,67 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     prepare(docs.sparkSession)
     bands = bands_for(percent / 100, rows)
-    limit = sketch_limit(percent / 100, bands * rows)
+    limit = sketch_limit(percent / 100, max(SAMPLES, bands * rows))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = written(texts.mapInArrow(_signatures(words, bands, rows), "doc_id long, n_shingles long, node long, keys array<long>, sketch array<long>"), "signed")
 
     ids = signed.where("n_shingles > 0")
-    nodes = ids.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    keyed = ids.select("doc_id", "node", "keys").join(nodes.select(F.col("node"), F.col("least")), "node").where("doc_id <=> least")
+    nodes = ids.groupBy("node").agg(F.min("doc_id").alias("least"))
+    keyed = ids.select("doc_id", "node", "keys").join(nodes, "node").where("doc_id <=> least")
     members = written(keyed.select("node", F.explode("keys").alias("key")).distinct(), "members")
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    hubs = members.groupBy("key").agg(_drawn(0).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", F.col("hub.node").alias("hub"))
     shared = written(members.join(hubs, "key").select("key", "node", "hub"), "buckets")
-    # one row per node: equal sets have equal sketches
-    sketches = ids.select("node", "sketch").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    # one row for each node: equal sets have equal sketches
+    sketches = ids.select("node", "n_shingles", "sketch").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     sketches = written(sketches, "sketches")
+    keys_of = keyed.select("node", "keys").dropDuplicates(["node"])
+    close = _sketch_near("sa", "sb", limit) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def near(pairs: DataFrame) -> DataFrame:
-        a = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("sa"))
-        b = sketches.select(F.col("node").alias("v"), F.col("sketch").alias("sb"))
-        return pairs.join(a, "u").join(b, "v").where(_sketch_near("sa", "sb", limit)).select("u", "v")
-
-    tried = written(near(shared.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()), "pairs")
+        a = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
+        b = sketches.select(F.col("node").alias("v"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+        return pairs.join(a, "u").join(b, "v").where(close).select("u", "v")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        first = ids.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi").withColumnRenamed("doc_id", "id")
-        found = texts.join(first, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+        first = written(nodes.join(wanted, "node", "left_semi").select("node", F.col("least").alias("id")), "wanted")
+        sent = F.broadcast(first) if first.count() <= MOST_SENT else first
+        found = texts.join(sent, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
         return written(found.mapInArrow(_sets(words), "node long, grams array<long>").dropDuplicates(["node"]), "sets")
 
+    def placed(roots: DataFrame) -> DataFrame:
+        """Bucket rows with the node's root and whether the hub has another."""
+        own = shared.join(roots, "node", "left").select("key", "node", "hub", F.coalesce("root", "node").alias("root"))
+        of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hr"))
+        return own.join(of_hub, "hub", "left").select("key", "node", "root", (F.col("root") != F.coalesce("hr", "hub")).alias("apart"))
+
+    tried = written(near(_ordered(shared.where("node <> hub"), "node", "hub")), "pairs")
     edges = written(_confirmed(tried, sets_of(tried), percent), "links")
     roots = written(connected_components(edges), "roots")
 
-    placed = shared.join(roots, "node", "left").select("key", "node", "hub", F.coalesce("root", "node").alias("root"))
-    placed = placed.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hr")), "hub", "left").select("key", "node", "root", (F.col("root") != F.coalesce("hr", "hub")).alias("apart"))
-    placed = written(placed.join(sketches, "node"), "placed")
-    apart = placed.where("apart").select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("sketch").alias("sa"))
-    others = placed.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("sketch").alias("sb"), F.col("apart").alias("va"))
-    met = apart.join(others, "key").where("ru <> rv and (not va or u < v)").where(_sketch_near("sa", "sb", limit)).select("u", "v").distinct()
-    rest = written(met.join(tried, ["u", "v"], "left_anti"), "rest")
+    now = written(placed(roots), "placed")
+    open_keys = now.where("apart").select("key").distinct()
+    draws = [_drawn(i + 1).alias(f"h{i}") for i in range(MORE_HUBS)]
+    more = now.join(open_keys, "key", "left_semi").groupBy("key").agg(*draws)
+    more = more.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}.node" for i in range(MORE_HUBS)]))).alias("hub"))
+    met = _ordered(now.where("apart").select("key", "node").join(more, "key").where("node <> hub"), "node", "hub")
+    met = written(near(met.join(tried, ["u", "v"], "left_anti")), "pairs")
+    if not met.isEmpty():
+        edges = written(edges.union(_confirmed(met, sets_of(met), percent)), "links")
+        tried = tried.union(met)
+        roots = written(connected_components(edges), "roots")
+
+    now = written(placed(roots), "placed")
+    now = now.join(now.where("apart").select("key").distinct(), "key", "left_semi").join(sketches, "node")
+    now = written(now.join(keys_of, "node"), "placed")
+    apart = now.where("apart").select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"), F.col("keys").alias("ka"))
+    others = now.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"), F.col("keys").alias("kb"), F.col("apart").alias("va"))
+    # a pair meets in the first bucket that both its nodes are in
+    first = F.array_intersect("ka", "kb")[0] == F.col("key")
+    rest = apart.join(others, "key").where("ru <> rv and (not va or u < v)").where(close & first)
+    rest = written(_ordered(rest, "u", "v").join(tried, ["u", "v"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = _confirmed(rest, sets_of(rest), percent)
-        roots = written(connected_components(edges.union(more)), "roots")
+        roots = written(connected_components(edges.union(_confirmed(rest, sets_of(rest), percent))), "roots")
 
     least = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     groups = least.groupBy("root").agg(F.min("least").alias("component_id"))
