@@ -12,6 +12,7 @@ from hopframe.llm.packing import pack_documents
 from hopframe.llm.quality_rules import quality_verdicts
 from hopframe.llm.secrets import scan_secrets
 from hopframe.llm.substring import drop_repeated_passages
+from hopframe.llm.toxicity import score_toxicity
 
 
 def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -42,5 +47,5 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_text, op2_minhash_dedup, op3_mix_sources, op4_divergence_rules, op6_secret_scan, op7_repeated_passages, op10_length_buckets)}
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_minhash_dedup, op3_mix_sources, op4_divergence_rules, op5_toxicity, op6_secret_scan, op7_repeated_passages, op10_length_buckets)}
 ORACLE_SQL: dict[str, str] = {}
