@@ -1,13 +1,13 @@
 """Removal of passages that start earlier in the corpus, found by difference-cover anchors.
 
-Positions 0, 1, 3, 9 modulo 13 form a difference cover: for any two positions some shift
-under 13 moves both onto cover positions at once.  So if a window of ``width`` words occurs
-at two places, some anchor of ``width - 12`` words inside it begins at a cover position at
-both of them.  Hence:
+Positions 0, 1, 3 modulo 7 form a difference cover: for any two positions some shift under 7
+moves both onto cover positions at once.  So if a window of ``width`` words occurs at two
+places, some anchor of ``width - 6`` words inside it begins at a cover position at both of
+them.  Hence:
 
-1. anchors are hashed at cover positions only (4 of 13) and dealt out by hash; an anchor met
+1. anchors are hashed at cover positions only (3 of 7) and dealt out by hash; an anchor met
    at two different places is repeated;
-2. only windows that hold a repeated anchor in their first 13 starts are extended: their
+2. only windows that hold a repeated anchor in their first 7 starts are extended: their
    whole word sequence is hashed and dealt out; every place but the first is a repeat;
 3. the words under repeats are removed from the text.
 
@@ -23,21 +23,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopframe.llm.common import prepare, written
 from hopframe.llm.textcore import U64, blocks, mix, window_hashes
 
-PERIOD = 13
-COVER = (0, 1, 3, 9)
+PERIOD = 7
+COVER = (0, 1, 3)
 #: words of input for each bucket that anchors or windows are dealt into
 BUCKET_WORDS = 2_000_000
 BUCKETS = (64, 65_536)
 LAST = (1 << 63) - 1
 _ANCHOR = np.dtype([("h", "<u4"), ("p", "<u4"), ("d", "<u2"), ("r", "u1")])
 _WINDOW = np.dtype([("h", "<u8"), ("p", "<u4"), ("d", "<u2")])
-_PACKED = "bucket int, ids binary, body binary"
 
 
 def _sequence_name(words: np.ndarray) -> int:
@@ -45,29 +45,49 @@ def _sequence_name(words: np.ndarray) -> int:
 
 
 def _packed(bucket: np.ndarray, entries: np.ndarray, ids: np.ndarray):
-    """One (bucket, ids, body) for each bucket; ids are the batch's document names."""
-    order = np.argsort(bucket, kind="stable")
+    """One (bucket, ids, body) for each bucket; ids are the batch's document names.
+
+    A body holds its fields one after the other, by document and place, which compresses well.
+    """
+    order = np.lexsort((entries["p"], entries["d"], bucket))
     bucket, entries = bucket[order], entries[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for b, part in zip(bucket[np.concatenate([[0], cuts])] if len(bucket) else [], np.split(entries, cuts)):
         used, local = np.unique(part["d"], return_inverse=True)
         part = part.copy()
         part["d"] = local
-        yield int(b), ids[used].tobytes(), part.tobytes()
+        yield int(b), ids[used].tobytes(), b"".join(part[f].tobytes() for f in part.dtype.names)
+
+
+def _unpacked(body, dtype) -> np.ndarray:
+    n = len(body) // dtype.itemsize
+    part, at = np.empty(n, dtype), 0
+    for f in dtype.names:
+        part[f] = np.frombuffer(body, dtype[f], n, at)
+        at += n * dtype[f].itemsize
+    return part
 
 
-def _gathered(batches, dtype):
-    """(bucket, ids of entries, entries) for each bucket of a partition sorted by bucket."""
+def _gathered(batches, dtype, settled):
+    """(ids of entries, entries) for each bucket of a partition sorted by bucket; rows that batches
+    settled by themselves go to ``settled`` in batches of their own."""
     at, ids, parts = None, [], []
     for batch in batches:
-        for b, i, body in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+        own = pc.is_valid(batch.column("name"))
+        done = batch.filter(own)
+        if done.num_rows:
+            settled.append(pa.RecordBatch.from_arrays([done.column("name"), done.column("places")], names=["name", "places"]))
+        batch = batch.filter(pc.invert(own))
+        for b, i, body in zip(batch.column("bucket").to_pylist(), batch.column("ids"), batch.column("body")):
             if b != at and parts:
                 yield np.concatenate(ids), np.concatenate(parts)
                 ids, parts = [], []
             at = b
-            part = np.frombuffer(body.as_buffer(), dtype)
+            part = _unpacked(body.as_buffer(), dtype)
             ids.append(np.frombuffer(i.as_buffer(), np.int64)[part["d"]])
             parts.append(part)
+        if not parts:
+            yield np.zeros(0, np.int64), np.zeros(0, dtype)
     if parts:
         yield np.concatenate(ids), np.concatenate(parts)
 
@@ -131,7 +151,7 @@ def _anchors(width: int, buckets: int):
             order = np.argsort(d, kind="stable")
             d, p = d[order], p[order]
             cuts = np.flatnonzero(np.diff(d)) + 1
-            rows += [(None, None, None, int(names[x]), part.tobytes()) for x, part in zip(d[np.concatenate([[0], cuts])] if len(d) else [], np.split(p, cuts))]
+            rows += [(int(names[x] % buckets), None, None, int(names[x]), part.tobytes()) for x, part in zip(d[np.concatenate([[0], cuts])] if len(d) else [], np.split(p, cuts))]
             yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "ids", "body", "name", "places"), r)) for r in rows], schema=pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("body", pa.binary()), ("name", pa.int64()), ("places", pa.binary())]))
 
     return run
@@ -146,13 +166,19 @@ def _by_name(names: np.ndarray, places: np.ndarray):
 
 
 def _repeated_anchors(batches):
-    for names, entries in _gathered(batches, _ANCHOR):
+    settled: list = []
+    for names, entries in _gathered(batches, _ANCHOR, settled):
+        yield from settled
+        settled.clear()
+        if not len(names):
+            continue
         order = np.argsort(entries["h"], kind="stable")
         names, entries = names[order], entries[order]
         head, of = _groups(entries["h"])
         differs = (names != names[of]) | (entries["p"] != entries["p"][of]) | (entries["r"] > 0)
         hit = np.logical_or.reduceat(differs, head)[np.searchsorted(head, of)]
         yield _by_name(names[hit], entries["p"][hit].astype("<u4"))
+    yield from settled
 
 
 def _places(cell) -> np.ndarray:
@@ -192,19 +218,25 @@ def _windows(width: int, buckets: int):
             # a place of the same document and start is the same place, not a later one
             rest = (of != np.arange(len(h))) & ~((ids[d] == ids[d[of]]) & (p == p[of]))
             later = _by_name(ids[d[rest]], p[rest].astype("<u4"))
-            rows += [(None, None, None, x["name"], x["places"]) for x in later.to_pylist()]
+            rows += [(x["name"] % buckets, None, None, x["name"], x["places"]) for x in later.to_pylist()]
             yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "ids", "body", "name", "places"), r)) for r in rows], schema=pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("body", pa.binary()), ("name", pa.int64()), ("places", pa.binary())]))
 
     return run
 
 
 def _later_windows(batches):
-    for ids, entries in _gathered(batches, _WINDOW):
+    settled: list = []
+    for ids, entries in _gathered(batches, _WINDOW, settled):
+        yield from settled
+        settled.clear()
+        if not len(ids):
+            continue
         order = np.lexsort((entries["p"], ids, entries["h"]))
         ids, entries = ids[order], entries[order]
         _, of = _groups(entries["h"])
         later = (ids != ids[of]) | (entries["p"] != entries["p"][of])
         yield _by_name(ids[later], entries["p"][later].astype("<u4"))
+    yield from settled
 
 
 def _removed(width: int):
@@ -234,13 +266,10 @@ _SENT = "bucket int, ids binary, body binary, name long, places binary"
 
 
 def _dealt(sent: DataFrame, reduce) -> DataFrame:
-    """(name, places) from the buckets and from what the batches settled by themselves."""
-    buckets = sent.where("bucket is not null").select("bucket", "ids", "body")
-    spark = sent.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = buckets.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "name long, places binary")
-    own = sent.where("bucket is null").select("name", "places")
-    return met.union(own).groupBy("name").agg(F.collect_list("places").alias("places"))
+    """(name, places) of all hits, from the buckets and from what the batches settled by themselves."""
+    n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "name long, places binary")
+    return met.groupBy("name").agg(F.collect_list("places").alias("places"))
 
 
 def drop_repeated_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -262,7 +291,7 @@ def drop_repeated_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_
     key = F.coalesce("doc_id", F.lit(LAST))
     firsts = base.where(F.col("n_words") >= width).groupBy("content").agg(F.min(key).alias("key"))
 
-    sent = written(texts.select("text").mapInArrow(_anchors(width, buckets), _SENT), "anchors")
+    sent = texts.select("text").mapInArrow(_anchors(width, buckets), _SENT)
     flags = _dealt(sent, _repeated_anchors).withColumnRenamed("name", "content")
     wanted = flags.join(firsts, "content")
     found = texts.select(key.alias("key"), "text").join(wanted, "key").select("key", "content", "places", "text")
@@ -270,7 +299,7 @@ def drop_repeated_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_
     if not base.groupBy(key.alias("key")).agg(F.count_distinct("content").alias("n")).where("n > 1").isEmpty():
         found = found.join(base.select(key.alias("key"), "content", F.col("sha").alias("text_sha")).distinct(), ["key", "content"]).where(F.sha2(F.trim(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " ")), 256) == F.col("text_sha")).drop("text_sha")
     work = written(found.dropDuplicates(["key", "content"]), "passages")
-    windows = written(work.select("key", "text", "places").mapInArrow(_windows(width, buckets), _SENT), "windows")
+    windows = work.select("key", "text", "places").mapInArrow(_windows(width, buckets), _SENT)
     later = _dealt(windows, _later_windows).withColumnRenamed("name", "key")
     left = work.select("key", "content", "text").join(later, "key").mapInArrow(_removed(width), "content long, gone long, rest_sha string, rest string")
     left = written(left if with_text else left.drop("rest"), "kept")
