@@ -150,3 +150,14 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: Callable[[list], l
     info = sources.select("source_no", F.col("source"), F.col("total").alias("source_size"), "target")
     result = rounded.join(F.broadcast(info), "source_no")
     return result.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+
+
+def repeat_to_mix(docs: DataFrame, share: float = 1.5, weights: Callable[[list], list[float]] = default_weights, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with each row as often as :func:`mix_sources` takes it, all columns as they are.
+
+    Rows that share an id, or have none, come as often as the least taken of them.
+    """
+    taken = mix_sources(docs, share, weights, id_col, text_col, source_col).groupBy("doc_id").agg(F.min("copies").cast("int").alias("_copies"))
+    taken = taken.where("_copies > 0").withColumnRenamed("doc_id", "_id")
+    joined = docs.join(taken, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -236,3 +236,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     some = ids.select("doc_id", "n_shingles", "node").join(named, "node").select("doc_id", "n_shingles", "component_id")
     none = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.union(none).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id is not kept by :func:`near_duplicates`, all columns as they are.
+
+    An id stays if one of its rows is kept, and then once; rows without an id stay.
+    """
+    found = written(near_duplicates(docs, words, percent, id_col, text_col), "classes")
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = written(ids.where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
+    sent = F.broadcast(gone) if gone.count() <= MOST_SENT else gone
+    left = docs.join(sent, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    if ids.where("kept and n > 1").isEmpty():
+        return left
+    named = left.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col])
+    return named.unionByName(left.where(F.col(f"`{id_col}`").isNull()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hopframe.llm.common import table
+from hopframe.llm.cotraining import score_quality
 from hopframe.llm.htmltext import extract_pages
 from hopframe.llm.mixing import mix_sources
 from hopframe.llm.neardup import near_duplicates
@@ -43,9 +44,13 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(table(spark, sf_dir, "documents"), width=20)
 
 
+def op9_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_text, op2_minhash_dedup, op3_mix_sources, op4_divergence_rules, op5_toxicity, op6_secret_scan, op7_repeated_passages, op10_length_buckets)}
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_minhash_dedup, op3_mix_sources, op4_divergence_rules, op5_toxicity, op6_secret_scan, op7_repeated_passages, op9_cotraining_quality, op10_length_buckets)}
 ORACLE_SQL: dict[str, str] = {}

@@ -110,14 +110,22 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return texts.mapInArrow(_scanner(None), f"row long, {_SCHEMA}").drop("masked").withColumnRenamed("row", "doc_id")
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
     """``docs`` with every span of a secret replaced by ``mask``; all other columns and rows as they are.
 
-    Overlapping spans are masked as one.  A null text stays null.
+    Overlapping spans are masked as one.  A null text stays null.  ``length_col``, if given, is
+    set to the code points of each text that was masked.
     """
     prepare(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = T.StructType([packed.schema["row"], *T.StructType.fromDDL(_SCHEMA)])
     scanned = packed.mapInArrow(_scanner(mask), schema)
     text = F.when(F.col(f"row.`{text_col}`").isNotNull(), F.col("masked"))
-    return scanned.select(*[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+    def column(c: str):
+        if c == text_col:
+            return text
+        own = F.col(f"row.`{c}`")
+        return F.when(F.col("spans") != "", F.length("masked").cast(docs.schema[c].dataType)).otherwise(own) if c == length_col else own
+
+    return scanned.select(*[column(c).alias(c) for c in docs.columns])
