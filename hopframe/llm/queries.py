@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hopframe.llm.common import table
 from hopframe.llm.cotraining import score_quality
 from hopframe.llm.htmltext import extract_pages
+from hopframe.llm.images import cropped_and_relit, drawn_vectors, find_copies
 from hopframe.llm.mixing import mix_sources
 from hopframe.llm.neardup import near_duplicates
 from hopframe.llm.packing import pack_documents
@@ -44,6 +46,12 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(table(spark, sf_dir, "documents"), width=20)
 
 
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited copies of the drawings of every vector whose id is divisible by 20, searched in all drawings."""
+    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("image_id"), (F.col("vec_id") % 20 == 0).alias("is_query"), F.col("embedding").cast("array<float>").alias("content"))
+    return find_copies(images, drawn_vectors("content"), cropped_and_relit)
+
+
 def op9_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,5 +60,5 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_text, op2_minhash_dedup, op3_mix_sources, op4_divergence_rules, op5_toxicity, op6_secret_scan, op7_repeated_passages, op9_cotraining_quality, op10_length_buckets)}
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_minhash_dedup, op3_mix_sources, op4_divergence_rules, op5_toxicity, op6_secret_scan, op7_repeated_passages, op8_image_copies, op9_cotraining_quality, op10_length_buckets)}
 ORACLE_SQL: dict[str, str] = {}
