@@ -211,8 +211,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     draws = [_drawn(i + 1).alias(f"h{i}") for i in range(MORE_HUBS)]
     more = now.join(open_keys, "key", "left_semi").groupBy("key").agg(*draws)
     more = more.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}.node" for i in range(MORE_HUBS)]))).alias("hub"))
-    met = _ordered(now.where("apart").select("key", "node").join(more, "key").where("node <> hub"), "node", "hub")
-    met = written(near(met.join(tried, ["u", "v"], "left_anti")), "pairs")
+    askers = now.where("apart").select("key", F.col("node").alias("u")).join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na")), "u")
+    drawn = more.join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb")), "hub").withColumnRenamed("hub", "v")
+    met = _ordered(askers.join(drawn, "key").where("u <> v").where(close), "u", "v")
+    met = written(met.join(tried, ["u", "v"], "left_anti"), "pairs")
     if not met.isEmpty():
         edges = written(edges.union(_confirmed(met, sets_of(met), percent)), "links")
         tried = tried.union(met)
