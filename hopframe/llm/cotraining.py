@@ -107,11 +107,11 @@ def _logit(p: np.ndarray) -> np.ndarray:
 def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, rounds: int = 4, per_round: int = 400) -> dict:
     """Models of both views and of their combination; labels are 1, 0 or -1 (pool).
 
-    Every fourth labelled row is kept for calibration.  A view passes on at most ``per_round``
+    A fixed random quarter of the labelled rows is kept for calibration.  A view passes on at most ``per_round``
     pool rows of each label in a round, and only those it is ``SURE`` of.
     """
     known = np.flatnonzero(labels >= 0)
-    aside = known[3::4]
+    aside = np.sort(np.random.default_rng(11).permutation(known)[: len(known) // 4])
     views = (text, meta)
     learned = [dict.fromkeys(np.setdiff1d(known, aside).tolist()) for _ in views]
     for own in learned:

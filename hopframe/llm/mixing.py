@@ -7,7 +7,8 @@ rates are exponential tilts of the document's size, r / (2 - r) = exp(a * size /
 Newton steps on the multipliers are aggregations over the histogram of (source, size).
 Rates are then rounded to whole copies by spreading the rounding error: within a stratum of
 a source, documents from large to small take the copies that bring the sum nearest to the
-rated one, so a stratum ends within half its smallest documents.
+rated one; where the sum is off by more than a whole document, that document takes one copy
+more or less than its rate says.
 """
 
 from __future__ import annotations
@@ -115,6 +116,10 @@ def _round_stratum(pdf: pd.DataFrame) -> pd.DataFrame:
         take = part > 0 and off + (1 - part) * size <= part * size - off
         off += ((1 - part) if take else -part) * size
         copies[i] = low + take
+        # what a large document left over, and the rates of small ones can't take back
+        while size and abs(off) > size and 0 <= copies[i] - math.copysign(1, off) <= MOST_COPIES:
+            copies[i] -= int(math.copysign(1, off))
+            off -= math.copysign(size, off)
     return pdf[["source_no", "doc_id", "size", "row"]].assign(copies=copies)
 
 
