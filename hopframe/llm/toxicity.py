@@ -146,7 +146,10 @@ def fit(sample, prior: float) -> tuple[np.ndarray, float]:
         rate = np.clip(prior, 1e-3, 1 - 1e-3)
         return weights, float(np.log(rate / (1 - rate)))
     lens = sample["slots"].map(len).to_numpy()
-    rows, cols = np.repeat(np.arange(n), lens), np.concatenate(sample["slots"].to_numpy()).astype(np.int64)
+    rows, cols = np.repeat(np.arange(n, dtype=np.int32), lens), np.concatenate(sample["slots"].to_numpy())
+    # slots of one or two texts never count
+    often = (np.bincount(cols, minlength=SLOTS) >= 3)[cols]
+    rows, cols = rows[often], cols[often]
     votes = np.column_stack([mined_voters(rows, cols, labels, n), np.stack(sample["votes"].to_numpy()).astype(np.int64), np.where(labels > 0, 1, -1)])
     post, _, _ = label_model(votes, np.clip(labels, 0.05, 0.95))
     counts = np.bincount(cols, minlength=SLOTS)
@@ -186,7 +189,7 @@ def _scorer(slots: np.ndarray, values: np.ndarray, intercept: float):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = 4000, most_negative: int = 6000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = 2000, most_negative: int = 3000) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, one row per row of ``docs``.
 
     Null and empty texts get the score of a text without features.  A null id is the empty
