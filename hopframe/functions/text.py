@@ -9,13 +9,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words that a capitalised phrase may not start with.
-STOP_STARTS = ("Are", "Is", "Was", "Were", "Do", "Does", "Did", "Which", "Who", "What", "When", "Where", "Why", "How", "In", "Of", "The", "A", "An", "And", "Or")
-#: Countries and their demonyms.
-DEMONYMS = {"american": "united states", "british": "united kingdom", "french": "france", "german": "germany", "italian": "italy", "japanese": "japan", "chinese": "china", "canadian": "canada"}
-#: Names of gold fields that must not appear in targets.
-LEAK_TERMS = ("gold", "supporting_facts", "evidence_chain")
-_PHRASE = r"\b[A-Z][A-Za-z0-9'’.-]*(?:\s+[A-Z][A-Za-z0-9'’.-]*)*"
+#: The pattern of a capitalised phrase and the words it may not start with.
+_PHRASE = r"\b[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'’-]*(?:\s+[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'’-]*)*\b"
+STOP_STARTS = ("Are", "Is", "Was", "Were", "Who", "What", "Where", "When", "Which", "The", "A", "An")
+#: Words that stand for a country in the allowed text.
+DEMONYMS = {"canada": ("canadian",), "america": ("american",), "united states": ("american",), "france": ("french",), "germany": ("german",), "england": ("english", "british"), "russia": ("russian",), "portugal": ("portuguese",)}
+#: Label terms that must not appear in trajectories.
+LEAK_TERMS = ("gold", "gold answer", "gold supporting facts", "supervised trajectory", "completed from")
+#: Words of attribute questions.
+ATTRIBUTE_WORDS = ("born", "birth", "where", "when", "located", "location", "founded", "founder", "died", "death", "nationality", "capital", "date", "year")
+#: Parts of validation errors and the reason each stands for, in order.
+REASONS = (
+    ("unseen intermediate", "unseen_intermediate_query"), ("final_answer", "missing_or_unsupported_final_answer"), ("supported final answer", "missing_or_unsupported_final_answer"), ("retrieval_count", "state_leakage"), ("retrieval_history", "state_leakage"), ("state.evidence", "state_leakage"),
+    ("top_k", "top_k_mismatch"), ("passage_id", "invalid_passage_selection"), ("rank", "invalid_passage_selection"), ("forbidden", "forbidden_training_label_text"), ("final answer is not supported", "missing_or_unsupported_final_answer"),
+)
 
 
 def col(c: Column | str) -> Column:
@@ -155,21 +162,18 @@ def capitalized_phrases(x: Column | str) -> Column:
 
 def comparison_entities(x: Column | str) -> Column:
     """Phrases of three or more characters, unique by normalised form, first spelling kept."""
-    phrases = F.filter(capitalized_phrases(x), lambda p: F.length(p) >= 3)
+    phrases = F.filter(capitalized_phrases(x), lambda p: F.length(normalize_key(p)) >= 3)
     start = F.array().cast("array<string>")
     return F.aggregate(phrases, start, lambda acc, p: F.when(F.exists(acc, lambda q: normalize_key(q) == normalize_key(p)), acc).otherwise(F.concat(acc, F.array(p))))
 
 
 def has_unseen_term(query: Column | str, allowed: Column | str) -> Column:
-    """A phrase of the query is neither in the allowed text nor a demonym of a country in it."""
+    """A phrase of the query is neither in the allowed text nor a country one of whose words is."""
     seen = normalize_key(allowed)
 
     def alias_ok(p: Column) -> Column:
-        pairs = [(p == F.lit(a)) & F.contains(seen, F.lit(b)) for a, b in DEMONYMS.items()] + [(p == F.lit(b)) & F.contains(seen, F.lit(a)) for a, b in DEMONYMS.items()]
-        out = pairs[0]
-        for q in pairs[1:]:
-            out = out | q
-        return out
+        known = [(p == F.lit(country)) & F.contains(seen, F.lit(word)) for country, words in DEMONYMS.items() for word in words]
+        return F.array_contains(F.array(*known), True)
 
     return F.exists(capitalized_phrases(query), lambda p: ~F.contains(seen, normalize_key(p)) & ~alias_ok(normalize_key(p)))
 
@@ -198,11 +202,11 @@ def occurrences(text: Column | str, part: Column | str) -> Column:
     return F.when(F.length(p) == 0, 0).otherwise(((F.length(t) - F.length(F.replace(t, p, F.lit("")))) / F.length(p)).cast("int"))
 
 
-def any_keyword(x: Column | str, keywords: tuple[str, ...]) -> Column:
+def any_keyword(x: Column | str, keywords: tuple[str, ...] = ATTRIBUTE_WORDS) -> Column:
     return F.arrays_overlap(F.regexp_extract_all(F.lower(col(x)), F.lit(r"\w+"), F.lit(0)), F.array(*[F.lit(k) for k in keywords]))
 
 
-def shared_keywords(a: Column | str, b: Column | str, keywords: tuple[str, ...]) -> Column:
+def shared_keywords(a: Column | str, b: Column | str, keywords: tuple[str, ...] = ATTRIBUTE_WORDS) -> Column:
     return F.size(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(F.lower(col(a)), k) & F.contains(F.lower(col(b)), k)))
 
 
@@ -228,10 +232,6 @@ def can_answer(payload: Column) -> Column:
 
 
 def filter_reason(error: Column | str) -> Column:
-    """Ordered classes of validation errors."""
-    e = F.lower(col(error))
-    rules = (("leak", "leakage"), ("unseen", "unseen_term"), ("unsupported", "unsupported_answer"), ("final answer", "final_answer"), ("evidence", "evidence"), ("query", "query"), ("format", "format"))
-    out = None
-    for part, name in rules:
-        out = F.when(F.contains(e, F.lit(part)), name) if out is None else out.when(F.contains(e, F.lit(part)), name)
-    return out.otherwise("other")
+    """The reason of the first part that a validation error contains."""
+    names = [F.when(F.contains(col(error), F.lit(part)), name) for part, name in REASONS]
+    return F.coalesce(*names, F.lit("validation_error"))

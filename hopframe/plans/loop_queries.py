@@ -27,7 +27,8 @@ def _full(spark, sf_dir) -> DataFrame:
     """Turns with observed sentences, chosen ids, evidence so far and answers."""
     t = turns(spark, sf_dir).withColumn("observed", F.when(F.col("reply") != "", X.sentences("reply")).otherwise(F.array().cast("array<string>")))
     t = t.withColumn("ids", F.when(F.length("query") % 4 == 0, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))).withColumn("picked", F.array_compact(F.transform("ids", lambda i: F.get("observed", i))))
-    t = L.cumulative(t, "picked", "evidence")
+    t = L.cumulative(t, "picked", "evidence").withColumn("before", F.slice("evidence", 1, F.size("evidence") - F.size("picked")))
+    t = t.withColumn("top_k", F.size("observed")).withColumn("passage_ids", F.transform("observed", lambda p, i: i)).withColumn("retrieval_count", F.col("round")).withColumn("history", F.col("round"))
     w = Window.partitionBy("traj")
     answer = F.when(F.col("can_answer"), F.coalesce(F.get("evidence", F.lit(0)), F.lit("")))
     return t.withColumn("answer", answer).withColumn("question", F.first("query").over(w.orderBy("round"))).withColumn("last", F.col("round") == F.max("round").over(w))
@@ -120,7 +121,7 @@ def sft_records(spark, sf_dir):
     return r.select("traj", "round", "ord", "role", F.startswith("target", F.lit("<")).alias("ok"))
 
 
-@query("SELECT conv_id, turn, contains(lower(text), 'gold') OR contains(lower(text), 'supporting_facts') OR contains(lower(text), 'evidence_chain') AS leaked FROM conversations")
+@query("SELECT conv_id, turn, contains(lower(text), 'gold') OR contains(lower(text), 'supervised trajectory') OR contains(lower(text), 'completed from') AS leaked FROM conversations")
 def leak_check(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.leaks("text").alias("leaked"))
 

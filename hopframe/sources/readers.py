@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 SPLIT_ALIASES = {"validation": "dev", "val": "dev", "dev": "dev", "train": "train", "test": "test"}
 #: file names tried for a split, in order
-SPLIT_NAMES = ("{split}.jsonl", "{alias}.jsonl", "{split}_examples.jsonl")
+SPLIT_NAMES = ("{dataset}_{split}.jsonl", "examples.{split}.jsonl", "{split}.jsonl")
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: StructType | str, objects_only: bool = False, strict: bool = False) -> DataFrame:
@@ -81,10 +81,11 @@ def given_files(spark: SparkSession, root: str, names: list[str], expand: bool =
     return out
 
 
-def split_file(spark: SparkSession, root: str, split: str) -> str:
-    """The first of the names a split may have."""
-    alias = SPLIT_ALIASES.get(split, split)
-    tried = [f"{root}/{n.format(split=split, alias=alias)}" for n in SPLIT_NAMES]
+def split_file(spark: SparkSession, root: str, dataset: str, split: str, examples_first: bool = False) -> str:
+    """The first of the names a split may have; assets look for the examples first."""
+    split = SPLIT_ALIASES.get(split, split)
+    names = [SPLIT_NAMES[i] for i in ((1, 0, 2) if examples_first else (0, 1, 2))]
+    tried = [f"{root}/{n.format(dataset=dataset, split=split)}" for n in names]
     for path in tried:
         if exists(spark, path):
             return path

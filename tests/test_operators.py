@@ -155,3 +155,28 @@ def test_stream_resumes(spark, tmp_path):
     run_stream(spark, source, schema, sink, checkpoint, ["id"])
     run_stream(spark, source, schema, sink, checkpoint, ["id"])
     assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == list(range(15))
+
+
+def test_record_pieces(spark):
+    from hopframe.operators import records as Q
+
+    ids = F.array(F.lit(1), F.lit(2), F.lit(3))
+    assert one(spark, Q.left_padded(ids, 5, 0)) == [0, 0, 1, 2, 3] and one(spark, Q.left_padded(ids, 2, 0)) == [2, 3]
+    assert one(spark, Q.right_padded(ids, 4, 9)) == [1, 2, 3, 9] and one(spark, Q.until_end(ids, 2)) == [1, 2] and one(spark, Q.until_end(ids, 8)) == [1, 2, 3]
+    assert one(spark, Q.labels(ids, F.array(F.lit(7)))) == [-100, -100, -100, 7]
+    assert one(spark, Q.log_softmax_at(F.array(F.lit(0.0), F.lit(0.0)), F.lit(1))) == pytest.approx(-0.693147, abs=1e-5)
+    assert one(spark, Q.pretty_json(F.lit('{"a":[1]}'))) == '{\n  "a": [\n    1\n  ]\n}'
+    assert one(spark, Q.target("answer", F.struct(F.lit(True).alias("ok"), F.lit("x").alias("v")))) == '<answer>{"ok": true, "v": "x"}</answer>'
+    assert one(spark, Q.answer_after_marker(F.lit("so. Answer: 42 "))) == "42" and one(spark, Q.prompt("Q: {q}", q=F.lit("why"))) == "Q: why"
+    assert [tuple(r) for r in Q.progress(spark, 5, 2, 2).collect()][2:4] == [(2, 0, 5), (3, 1, 2)]
+    rows = spark.createDataFrame([("a",), ("b",)], "p string").coalesce(1)
+    good = Q.call_model(rows, "p", "r", lambda: lambda ps: [p.upper() for p in ps]).collect()
+    bad = Q.call_model(rows, "p", "r", lambda: lambda ps: ps[:1]).collect()
+    assert [r["r"] for r in good] == ["A", "B"] and all("answers to" in r["error"] for r in bad)
+
+
+def test_validation_rules(spark):
+    row = "0 as round, 'who' as question, 'who in Peru' as query, array('a') as observed, {k} as top_k, array(1) as passage_ids, array(3) as ids, array() as before, array('a') as evidence, 'zzz' as answer, true as can_answer, 1 as retrieval_count, 0 as history, true as last"
+    t = spark.sql("select 1 as traj, " + row.format(k=2)).withColumn("before", F.col("before").cast("array<string>"))
+    got = L.validation_errors(t).select(F.explode("errors").alias("e")).select(X.filter_reason("e").alias("r")).collect()
+    assert [r["r"] for r in got] == ["state_leakage", "unseen_intermediate_query", "top_k_mismatch", "invalid_passage_selection", "invalid_passage_selection", "missing_or_unsupported_final_answer"]

@@ -31,7 +31,7 @@ def test_json(spark, folder):
 def test_files(spark, folder):
     names = [f.rsplit("/", 1)[1] for f in S.sample_files(spark, folder)]
     assert names == ["dev.jsonl", "train.jsonl"]
-    assert S.split_file(spark, folder, "validation").endswith("dev.jsonl")
+    assert S.split_file(spark, folder, "wiki", "validation").endswith("dev.jsonl")
     assert len(S.given_files(spark, folder, ["train.jsonl"])) == 1
     with pytest.raises(FileNotFoundError):
         S.given_files(spark, folder, ["train.jsonl", "none.jsonl"])
