@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import written
+from hopframe.llm.common import forget, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = written(_small_star(_large_star(now)), "edges")
+        old, now = now, written(_small_star(_large_star(now)), "edges")
+        forget(old)
         was, seen = seen, _digest(now)
         if was == seen:
             break

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import prepare, written
+from hopframe.llm.common import forget, prepare, written
 from hopframe.llm.components import connected_components
 from hopframe.llm.textcore import U64, blocks, list_array, mix, window_hashes
 
@@ -189,12 +189,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         b = sketches.select(F.col("node").alias("v"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
         return pairs.join(a, "u").join(b, "v").where(close).select("u", "v")
 
+    done: list[DataFrame] = [signed, members, shared, sketches]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        done.append(written(df, name))
+        return done[-1]
+
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        first = written(nodes.join(wanted, "node", "left_semi").select("node", F.col("least").alias("id")), "wanted")
+        first = kept(nodes.join(wanted, "node", "left_semi").select("node", F.col("least").alias("id")), "wanted")
         sent = F.broadcast(first) if first.count() <= MOST_SENT else first
         found = texts.join(sent, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
-        return written(found.mapInArrow(_sets(words), "node long, grams array<long>").dropDuplicates(["node"]), "sets")
+        return kept(found.mapInArrow(_sets(words), "node long, grams array<long>").dropDuplicates(["node"]), "sets")
 
     def placed(roots: DataFrame) -> DataFrame:
         """Bucket rows with the node's root and whether the hub has another."""
@@ -202,11 +208,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hr"))
         return own.join(of_hub, "hub", "left").select("key", "node", "root", (F.col("root") != F.coalesce("hr", "hub")).alias("apart"))
 
-    tried = written(near(_ordered(shared.where("node <> hub"), "node", "hub")), "pairs")
-    edges = written(_confirmed(tried, sets_of(tried), percent), "links")
-    roots = written(connected_components(edges), "roots")
+    tried = kept(near(_ordered(shared.where("node <> hub"), "node", "hub")), "pairs")
+    edges = kept(_confirmed(tried, sets_of(tried), percent), "links")
+    roots = kept(connected_components(edges), "roots")
 
-    now = written(placed(roots), "placed")
+    now = kept(placed(roots), "placed")
     open_keys = now.where("apart").select("key").distinct()
     draws = [_drawn(i + 1).alias(f"h{i}") for i in range(MORE_HUBS)]
     more = now.join(open_keys, "key", "left_semi").groupBy("key").agg(*draws)
@@ -214,30 +220,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     askers = now.where("apart").select("key", F.col("node").alias("u")).join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na")), "u")
     drawn = more.join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb")), "hub").withColumnRenamed("hub", "v")
     met = _ordered(askers.join(drawn, "key").where("u <> v").where(close), "u", "v")
-    met = written(met.join(tried, ["u", "v"], "left_anti"), "pairs")
+    met = kept(met.join(tried, ["u", "v"], "left_anti"), "pairs")
     if not met.isEmpty():
-        edges = written(edges.union(_confirmed(met, sets_of(met), percent)), "links")
+        edges = kept(edges.union(_confirmed(met, sets_of(met), percent)), "links")
         tried = tried.union(met)
-        roots = written(connected_components(edges), "roots")
+        roots = kept(connected_components(edges), "roots")
 
-    now = written(placed(roots), "placed")
+    now = kept(placed(roots), "placed")
     now = now.join(now.where("apart").select("key").distinct(), "key", "left_semi").join(sketches, "node")
-    now = written(now.join(keys_of, "node"), "placed")
+    now = kept(now.join(keys_of, "node"), "placed")
     apart = now.where("apart").select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"), F.col("keys").alias("ka"))
     others = now.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"), F.col("keys").alias("kb"), F.col("apart").alias("va"))
     # a pair meets in the first bucket that both its nodes are in
     first = F.array_intersect("ka", "kb")[0] == F.col("key")
     rest = apart.join(others, "key").where("ru <> rv and (not va or u < v)").where(close & first)
-    rest = written(_ordered(rest, "u", "v").join(tried, ["u", "v"], "left_anti"), "rest")
+    rest = kept(_ordered(rest, "u", "v").join(tried, ["u", "v"], "left_anti"), "rest")
     if not rest.isEmpty():
-        roots = written(connected_components(edges.union(_confirmed(rest, sets_of(rest), percent))), "roots")
+        roots = kept(connected_components(edges.union(_confirmed(rest, sets_of(rest), percent))), "roots")
 
     least = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     groups = least.groupBy("root").agg(F.min("least").alias("component_id"))
     named = least.join(groups, "root").select("node", "component_id")
     some = ids.select("doc_id", "n_shingles", "node").join(named, "node").select("doc_id", "n_shingles", "component_id")
     none = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return some.union(none).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    result = written(some.union(none).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")), "classes")
+    forget(*done)
+    return result
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +253,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_
 
     An id stays if one of its rows is kept, and then once; rows without an id stay.
     """
-    found = written(near_duplicates(docs, words, percent, id_col, text_col), "classes")
+    found = near_duplicates(docs, words, percent, id_col, text_col)
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone = written(ids.where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
     sent = F.broadcast(gone) if gone.count() <= MOST_SENT else gone
