@@ -5,6 +5,8 @@ common words of its language.  References are the mean histograms of each langua
 texts of the corpus that pass the base rules and are long enough.  A text is rejected when
 the Jensen-Shannon distance (square root of the base-2 divergence, 0 to 1) of a histogram
 from its reference exceeds a limit; texts shorter than a guard are judged by the base alone.
+The limit of the word test is a share of the distance that a text without any common word
+has, and its guard is the length at which the reference expects enough common words.
 """
 
 from __future__ import annotations
@@ -172,34 +174,43 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
-def _verdicts(refs: dict, min_words: int, class_limit: float, word_limit: float):
+def wordless_distance(ref: np.ndarray) -> float:
+    """Distance of a text without any common word from a word reference, whose last bin is all other words."""
+    return float(js_distance(np.eye(len(ref))[-1:], ref)[0])
+
+
+def _verdicts(refs: dict, min_words: int, class_limit: float, word_share: float, least_common: float):
     def run(batches):
         for batch in batches:
             n_words, repeat = np.asarray(batch.column("n_words")), np.asarray(batch.column("n_repeat_words"))
             failed = _base_failed(n_words, repeat)
             langs = np.array([x if x in COMMON else OTHER for x in batch.column("lang").to_pylist()], object)
             classes, common = _shares(_matrix(batch.column("classes"))), _matrix(batch.column("common"))
-            d_class, d_word = np.zeros(len(n_words)), np.zeros(len(n_words))
+            d_class, d_word, strange = np.zeros(len(n_words)), np.zeros(len(n_words)), np.zeros(len(n_words), bool)
             for lang in (*LANGS, OTHER):
                 here = langs == lang
                 if here.any() and (lang, "class") in refs:
                     d_class[here] = js_distance(classes[here], refs[lang, "class"])
                 if here.any() and (lang, "word") in refs:
-                    d_word[here] = js_distance(_shares(_in_lang(common[here], lang)), refs[lang, "word"])
+                    ref = refs[lang, "word"]
+                    d_word[here] = js_distance(_shares(_in_lang(common[here], lang)), ref)
+                    strange[here] = (d_word[here] > word_share * wordless_distance(ref)) & (n_words[here] * (1 - ref[-1]) >= least_common)
             judged = n_words >= min_words
-            kept = ~failed & ~(judged & ((d_class > class_limit) | (d_word > word_limit)))
+            kept = ~failed & ~(judged & ((d_class > class_limit) | strange))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in _COUNTS), pa.array(failed), pa.array(d_class), pa.array(d_word), pa.array(kept)], names=["doc_id", *_COUNTS, "base_failed", "class_distance", "word_distance", "kept"])
 
     return run
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, class_limit: float = 0.28, word_limit: float = 0.6) -> DataFrame:
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, class_limit: float = 0.28, word_share: float = 0.8, least_common: float = 22) -> DataFrame:
     """Base counts, base_failed, both distances and kept, one row per row of ``docs``.
 
     Null texts count as empty: no words, so base_failed.  Languages without a word list,
     null among them, share one character reference and skip the word test; a language none
     of whose texts is usable has no reference and its texts are judged by the base alone.
-    Sums behind the references are whole numbers, so reruns agree.
+    Sums behind the references are whole numbers, so reruns agree.  The word test rejects
+    above ``word_share`` of the distance of a text without common words, and judges texts in
+    which the reference expects ``least_common`` common words (about 100 words of prose).
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
@@ -214,4 +225,4 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         h = np.array([bins[i] for i in range(len(bins))], np.float64)
         refs[k] = h / max(h.sum(), 1)
     names = ", ".join(f"{c} long" for c in _COUNTS)
-    return features.mapInArrow(_verdicts(refs, min_words, class_limit, word_limit), f"doc_id long, {names}, base_failed boolean, class_distance double, word_distance double, kept boolean")
+    return features.mapInArrow(_verdicts(refs, min_words, class_limit, word_share, least_common), f"doc_id long, {names}, base_failed boolean, class_distance double, word_distance double, kept boolean")

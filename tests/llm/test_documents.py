@@ -193,6 +193,21 @@ def test_divergent_text_is_rejected(spark):
     assert not got[99] and all(got[i] for i in range(30))
 
 
+def test_only_the_word_test_rejects(spark):
+    """Wrong language, a keyword list and invented words, in ordinary letters."""
+    from hopframe.llm.quality_rules import COMMON, quality_verdicts
+
+    rng = random.Random(2)
+    nouns = ["house", "water", "stones", "river", "garden", "winter", "morning", "letter", "window", "harbour"]
+    say = lambda common, n=160: " ".join(rng.choice(common) if rng.random() < 0.3 else rng.choice(nouns) + rng.choice(nouns) for _ in range(n))
+    plain = [(i, say(COMMON["en"]), "en", "a") for i in range(60)]
+    odd = [(90, say(COMMON["de"][:6]), "en", "a"), (91, say(nouns), "en", "a"), (92, say(["ethu", "onder", "arile"]), "en", "a")]
+    short = (93, say(nouns, 55), "en", "a")
+    got = {r["doc_id"]: r for r in quality_verdicts(frame(spark, [*plain, *odd, short])).collect()}
+    assert all(got[i]["class_distance"] < 0.28 and not got[i]["base_failed"] for i in got)
+    assert not any(got[i]["kept"] for i in (90, 91, 92)) and got[93]["kept"] and all(got[i]["kept"] for i in range(60))
+
+
 ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
 
