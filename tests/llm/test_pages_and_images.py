@@ -86,3 +86,46 @@ def test_table_recall_against_all_descriptors():
                 tables.add((q, i))
     assert {(q, q) for q in range(0, 40, 2)} <= brute
     assert len(brute & tables) >= 0.9 * len(brute)
+
+
+def _noisy(raster, no):
+    return np.clip(raster + np.random.default_rng(no).normal(0, 25, raster.shape), 0, 255).astype(np.uint8)
+
+
+def _rescaled(raster, no):
+    from hopframe.llm.images import _resized
+
+    return _resized(raster[None].astype(np.float32), 0.85)[0].astype(np.uint8)
+
+
+def _turned(raster, no):
+    """By 20 degrees about the centre, nearest pixels."""
+    h, w = raster.shape
+    y, x = np.mgrid[0:h, 0:w] - np.array([h / 2, w / 2])[:, None, None]
+    c, s = np.cos(np.pi / 9), np.sin(np.pi / 9)
+    return raster[np.clip(np.rint(c * y - s * x + h / 2), 0, h - 1).astype(int), np.clip(np.rint(s * y + c * x + w / 2), 0, w - 1).astype(int)]
+
+
+@pytest.mark.parametrize("edit", [_noisy, _rescaled, _turned])
+def test_copies_with_changed_descriptors_are_found(spark, edit):
+    """Of the copies that brute force at distance 40 finds, at least nine tenths are found."""
+    import pyarrow as pa
+
+    from hopframe.llm.images import LEAST_POINTS, consensus, describe, drawn_vectors, find_copies
+
+    vectors = np.random.default_rng(6).normal(size=(80, 64)).astype(np.float32)
+    render = drawn_vectors("content")
+    rasters = render(pa.RecordBatch.from_pydict({"content": vectors.tolist()}))
+    image, place, bits = describe(np.stack(rasters))
+    brute = set()
+    for q in range(80):
+        own = np.flatnonzero(image == q)
+        _, qp, qb = describe(edit(rasters[q], q)[None])
+        a, b = np.nonzero((qb[:, None] != bits[own][None]).sum(axis=2) <= 40)
+        if len(a) and consensus(qp[a], place[own][b]) >= LEAST_POINTS:
+            brute.add(q)
+    images = spark.createDataFrame([(i, True, v.tolist()) for i, v in enumerate(vectors)], "image_id long, is_query boolean, content array<float>")
+    found = {r["image_id"] for r in find_copies(images, render, edit).collect() if r["image_id"] in r["matches"]}
+    print(edit.__name__, len(brute), len(brute & found))
+    assert len(brute) >= 8
+    assert len(brute & found) >= 0.9 * len(brute)
