@@ -180,3 +180,33 @@ def test_validation_rules(spark):
     t = spark.sql("select 1 as traj, " + row.format(k=2)).withColumn("before", F.col("before").cast("array<string>"))
     got = L.validation_errors(t).select(F.explode("errors").alias("e")).select(X.filter_reason("e").alias("r")).collect()
     assert [r["r"] for r in got] == ["state_leakage", "unseen_intermediate_query", "top_k_mismatch", "invalid_passage_selection", "invalid_passage_selection", "missing_or_unsupported_final_answer"]
+
+
+def test_hybrid_covers_every_passage(spark):
+    """More than 2,000 passages: each has a prior and so a place in the ranking of a question with seeds."""
+    n = 2050
+    passages = spark.createDataFrame([(i, f"Near Zurich there is stone{i} number{i % 7}" if i == 3 else f"stone{i} number{i % 7} lies here") for i in range(n)], "passage long, body string")
+    questions = spark.createDataFrame([(1, "Is Zurich near number5?"), (2, "which stone77 lies there")], "q long, question string")
+    got = R.hybrid_retrieve(questions, passages, k=3000).collect()
+    by = {h: {r["passage"]: r["score"] for r in got if r["how"] == h} for h in ("graph", "dense")}
+    assert {(r["q"], r["how"]) for r in got} == {(1, "graph"), (2, "dense")} and len(by["dense"]) == n
+    # only the passages of least dense score have no prior, as they are scaled to 0
+    dense = {r["passage"]: r["score"] for r in R.hybrid_retrieve(spark.createDataFrame([(1, "is zurich near number5?")], "q long, question string"), passages, k=3000).collect()}
+    least = min(dense.values())
+    assert len(dense) == n and set(by["graph"]) == {p for p, x in dense.items() if x > least + 1e-12 or p == 3}
+
+
+def test_comparison_entities_of_whole_documents(spark, tmp_path):
+    from hopframe.plans.registry import QUERIES
+
+    names = [f"Na{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    long = "we met. " + " ".join(f"we saw {names[i * 7 % 300]} again. We saw {names[i * 7 % 300].upper()} too." for i in range(600))
+    rows = [(1, "the old one. it was so. then Berlin came. at last Oslo and berlin, BERLIN."), (2, long), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["phrases"], r["entities"]) for r in QUERIES["capitalized_phrases"](spark, str(tmp_path)).collect()}
+    assert got[1][1] == "Berlin|Oslo" and got[3][1] is None and got[4][1] == ""
+    first = {}
+    for p in got[2][0].split("|"):
+        if len(p) >= 3:
+            first.setdefault(p.lower(), p)
+    assert got[2][1].split("|") == list(first.values()) and len(first) >= 300
