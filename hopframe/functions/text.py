@@ -162,9 +162,10 @@ def capitalized_phrases(x: Column | str) -> Column:
 
 def comparison_entities(x: Column | str) -> Column:
     """Phrases of three or more characters, unique by normalised form, first spelling kept."""
-    phrases = F.filter(capitalized_phrases(x), lambda p: F.length(normalize_key(p)) >= 3)
-    start = F.array().cast("array<string>")
-    return F.aggregate(phrases, start, lambda acc, p: F.when(F.exists(acc, lambda q: normalize_key(q) == normalize_key(p)), acc).otherwise(F.concat(acc, F.array(p))))
+    marked = F.filter(F.transform(capitalized_phrases(x), lambda p, i: F.struct(normalize_key(p).alias("key"), i.alias("pos"), p.alias("phrase"))), lambda m: F.length(m["key"]) >= 3)
+    # sorted by key and place, the first of each key stays; the array is bound by a lambda so that it is made once
+    first = F.transform(F.array(F.array_sort(marked)), lambda s: F.filter(s, lambda m, i: (i == 0) | (m["key"] != F.get(s, i - 1)["key"])))[0]
+    return F.transform(F.array_sort(F.transform(first, lambda m: F.struct(m["pos"], m["phrase"]))), lambda m: m["phrase"])
 
 
 def has_unseen_term(query: Column | str, allowed: Column | str) -> Column:
