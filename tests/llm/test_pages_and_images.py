@@ -42,6 +42,23 @@ def test_templates_find_the_main_slot(spark):
     assert extract_pages(pages.limit(0)).count() == 0
 
 
+def test_template_texts_go(spark):
+    """Menus and notices in elements without telling names, inside the main container, on all or on some pages."""
+    from hopframe.llm.htmltext import extract_pages
+
+    def html(i):
+        some = "<div class='q'>Open on Sundays too</div>" if i % 3 == 0 else ""
+        body = f"{'All rights' if i % 4 else 'Some lefts'} of story {i} told at length here, with number {i * i}"
+        return f"<html><body><div class='c'><div class='m|1'>Start Shop Contact</div>{some}<p>{body}</p></div></body></html>"
+
+    rows = [(i, f"https://plain.org/{i}", html(i)) for i in range(30)] + [(40 + i, "https://same.org/x", "<div class='a'>only this</div>") for i in range(4)]
+    rows += [(50, "https://plain.org/art", "<html><body><article><div class='m|1'>Start Shop Contact</div><p>kept</p></article></body></html>")]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert got[i] == f"{'All rights' if i % 4 else 'Some lefts'} of story {i} told at length here, with number {i * i}"
+    assert all(got[40 + i] == "only this" for i in range(4)) and got[50] == "Start Shop Contact kept"
+
+
 def test_copies_are_found(spark):
     from hopframe.llm.images import LEAST_POINTS, cropped_and_relit, describe, drawn_vectors, find_copies
 
