@@ -19,7 +19,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopframe.llm.common import prepare, written
@@ -130,6 +130,11 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: Callable[[list], l
     own, last in order.  Null and empty texts have size 0 and take nothing.  Rows that share
     an id count each.  Nothing is random: reruns agree.
     """
+    return _mixed(docs, share, weights, id_col, text_col, source_col).drop("row")
+
+
+def _mixed(docs: DataFrame, share: float, weights: Callable[[list], list[float]], id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The rows of :func:`mix_sources` with ``row``, the number among those of equal source, id and size."""
     prepare(docs.sparkSession)
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -154,15 +159,20 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: Callable[[list], l
     rounded = listed.select("source_no", "stratum", "doc_id", "size", "rate", "row").groupBy("source_no", "stratum").applyInPandas(_round_stratum, "source_no int, doc_id long, size long, row long, copies long")
     info = sources.select("source_no", F.col("source"), F.col("total").alias("source_size"), "target")
     result = rounded.join(F.broadcast(info), "source_no")
-    return result.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+    return result.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "row")
 
 
 def repeat_to_mix(docs: DataFrame, share: float = 1.5, weights: Callable[[list], list[float]] = default_weights, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row as often as :func:`mix_sources` takes it, all columns as they are.
 
-    Rows that share an id, or have none, come as often as the least taken of them.
+    Each row has copies of its own: rows of equal source, id (or none) and size are numbered
+    in the order of their texts' hashes.
     """
-    taken = mix_sources(docs, share, weights, id_col, text_col, source_col).groupBy("doc_id").agg(F.min("copies").cast("int").alias("_copies"))
-    taken = taken.where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(taken, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prepare(docs.sparkSession)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{source_col}`").cast("string").alias("_source"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    sized = word_counts(packed.withColumn("_order", F.xxhash64("text"))).where("size > 0").withColumnRenamed("size", "_size")
+    numbered = sized.withColumn("_no", F.row_number().over(Window.partitionBy("_source", "_id", "_size").orderBy("_order")).cast("long"))
+    taken = _mixed(docs, share, weights, id_col, text_col, source_col).where("copies > 0").select("source", "doc_id", "size", "row", F.col("copies").cast("int").alias("_copies"))
+    same = F.col("_source").eqNullSafe(F.col("source")) & F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_size") == F.col("size")) & (F.col("_no") == F.col("row"))
+    joined = numbered.join(taken, same)
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

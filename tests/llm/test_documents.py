@@ -279,6 +279,20 @@ def test_mix_meets_targets(docs, rows):
     assert mixed.columns == docs.columns
 
 
+def test_mix_repeats_each_row_by_its_own_copies(spark):
+    """Rows without an id, or that share one, beside an empty text."""
+    from hopframe.llm.mixing import mix_sources, repeat_to_mix
+
+    rng = random.Random(7)
+    rows = [(None if i % 2 else i // 4, " ".join(f"u{i}x{k}" for k in range(rng.randrange(5, 9))), "en", "ab"[i % 3 % 2]) for i in range(60)] + [(None, "", "en", "a"), (None, None, None, "b")]
+    docs = frame(spark, rows)
+    want = Counter()
+    for r in mix_sources(docs).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    got = Counter((r["doc_id"], r["source"], len(WORDS.findall(r["text"] or ""))) for r in repeat_to_mix(docs).collect())
+    assert got == +want and sum(n for k, n in got.items() if k[0] is None) > 0
+
+
 def test_optimal_boundaries_by_brute_force():
     from itertools import combinations
 
