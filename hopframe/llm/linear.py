@@ -27,6 +27,31 @@ def fit_dense(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2
     return b
 
 
+def fit_codes(codes: np.ndarray, width: int, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 30, chunk: int = 1024) -> np.ndarray:
+    """:func:`fit_dense` on one-hot features given as the columns (row, feature) that are 1.
+
+    The rows are laid out ``chunk`` at a time, so memory is that of the codes.
+    """
+    ridge = np.full(width + 1, l2)
+    ridge[-1] = 1e-6
+    b = np.zeros(width + 1)
+    for _ in range(steps):
+        p = sigmoid(b[codes].sum(axis=1) + b[-1])
+        slope, curve = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
+        grad, hess = ridge * b, np.diag(ridge)
+        for lo in range(0, len(codes), chunk):
+            x = np.zeros((len(codes[lo : lo + chunk]), width + 1))
+            np.put_along_axis(x, codes[lo : lo + chunk], 1.0, axis=1)
+            x[:, -1] = 1.0
+            grad += x.T @ slope[lo : lo + chunk]
+            hess += (x * curve[lo : lo + chunk, None]).T @ x
+        step = np.linalg.solve(hess, grad)
+        b -= np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-7:
+            break
+    return b
+
+
 def fit_sparse(rows: np.ndarray, cols: np.ndarray, n: int, width: int, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 400, rate: float = 0.2) -> tuple[np.ndarray, float]:
     """Logistic regression on 0/1 features given as (row, col) pairs, by adaptive gradient steps."""
     b, c = np.zeros(width), 0.0
