@@ -83,24 +83,26 @@ def balance(histogram: DataFrame, sources: DataFrame, newton_steps: int = NEWTON
     derivative; a step that would leave the bracket halves it.
     """
     spark = sources.sparkSession
-    state = {r["source_no"]: {"a": 0.0, "lo": -STEEPEST, "hi": STEEPEST, "target": r["target"], "mean": r["mean"], "total": r["total"]} for r in sources.collect()}
+    # a source at its cap takes all its documents twice, which is the end of the range and needs no step
+    state = {r["source_no"]: {"a": 0.0, "lo": -STEEPEST, "hi": STEEPEST, "target": r["target"], "mean": r["mean"], "total": r["total"], "open": r["target"] < MOST_COPIES * r["total"]} for r in sources.collect()}
+    exact = lambda x: F.sum(x.cast("decimal(38,9)")).cast("double")  # noqa: E731  the order of partial sums doesn't matter
     for _ in range(newton_steps):
-        now = spark.createDataFrame([(k, s["a"], s["mean"]) for k, s in state.items()], "source_no int, a double, mean double")
+        left = [(k, s["a"], s["mean"]) for k, s in state.items() if s["open"]]
+        if not left:
+            break
+        now = F.broadcast(spark.createDataFrame(left, "source_no int, a double, mean double"))
         x = F.col("size") / F.col("mean")
         rate = _tilt(F.col("a"), x)
-        sums = histogram.join(now, "source_no").groupBy("source_no").agg(F.sum(rate * F.col("size") * F.col("n")).alias("g"), F.sum(rate * (1 - rate / MOST_COPIES) * x * F.col("size") * F.col("n")).alias("h"))
-        done = True
+        sums = histogram.join(now, "source_no").groupBy("source_no").agg(exact(rate * F.col("size") * F.col("n")).alias("g"), exact(rate * (1 - rate / MOST_COPIES) * x * F.col("size") * F.col("n")).alias("h"))
         for r in sums.collect():
             s = state[r["source_no"]]
             miss = r["g"] - s["target"]
             if abs(miss) <= TOLERANCE * max(s["target"], 1.0) or s["hi"] - s["lo"] < 1e-12:
+                s["open"] = False
                 continue
-            done = False
             s["hi" if miss > 0 else "lo"] = s["a"]
             step = s["a"] - miss / r["h"] if r["h"] > 0 else math.inf
             s["a"] = step if s["lo"] < step < s["hi"] else (s["lo"] + s["hi"]) / 2
-        if done:
-            break
     return spark.createDataFrame([(k, s["a"]) for k, s in state.items()], "source_no int, a double")
 
 
@@ -151,11 +153,10 @@ def _mixed(docs: DataFrame, share: float, weights: Callable[[list], list[float]]
     full = F.col("target") >= MOST_COPIES * F.col("total")
     rate = F.when(full, MOST_COPIES).otherwise(_tilt(F.col("a"), F.col("size") / F.col("mean")))
     rated = numbered.join(F.broadcast(tilts), "source_no").withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
-    # equal rows are told apart by a number among their likes
-    key = F.xxhash64("doc_id", "size")
-    strata = rated.withColumn("stratum", F.pmod(key, F.col("strata")).cast("int"))
-    parts = strata.groupBy("source_no", "stratum", "doc_id", "size", "rate").agg(F.count("*").alias("likes"))
+    # equal rows are told apart by a number among their likes, which also deals them to strata
+    parts = rated.groupBy("source_no", "strata", "doc_id", "size", "rate").agg(F.count("*").alias("likes"))
     listed = parts.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("likes"))))
+    listed = listed.withColumn("stratum", F.pmod(F.xxhash64("doc_id", "size", "row"), F.col("strata")).cast("int"))
     rounded = listed.select("source_no", "stratum", "doc_id", "size", "rate", "row").groupBy("source_no", "stratum").applyInPandas(_round_stratum, "source_no int, doc_id long, size long, row long, copies long")
     info = sources.select("source_no", F.col("source"), F.col("total").alias("source_size"), "target")
     result = rounded.join(F.broadcast(info), "source_no")
