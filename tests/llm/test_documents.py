@@ -338,7 +338,7 @@ def labelled(spark, pairs, name):
 def test_toxicity_learns_and_ignores_held_out(spark):
     import zlib
 
-    from hopframe.llm.toxicity import label_model, score_toxicity
+    from hopframe.llm.toxicity import score_toxicity
 
     rng = random.Random(8)
     say = lambda n: " ".join(f"n{rng.randrange(300)}" for _ in range(n))
@@ -356,11 +356,67 @@ def test_toxicity_learns_and_ignores_held_out(spark):
     assert again == {i: r["score"] for i, r in got.items()}
     none = score_toxicity(docs, labelled(spark, [(1, 0)], "toxic")).collect()
     assert len({r["score"] for r in none}) == 1 and not any(r["predicted"] for r in none)
+
+
+def test_label_model_beats_a_majority_of_correlated_voters(spark):
+    """Four copies of one bad voter outvote three good ones in a majority, but not in the model, which sees no truth."""
     import numpy as np
 
-    votes = np.array([[1, 1, 1]] * 30 + [[-1, -1, -1]] * 70)
-    post, table, _ = label_model(votes, np.r_[np.full(30, 0.9), np.full(70, 0.1)])
-    assert post[:30].min() > 0.9 and post[30:].max() < 0.1 and table[0, 1, 2] > 0.9
+    from hopframe.llm.toxicity import estimate_voters, pack_votes, posterior
+
+    rng = np.random.default_rng(3)
+    n = 4000
+    y = rng.random(n) < 0.3
+    good = np.stack([np.where(rng.random(n) < 0.9, np.where(y, 1, -1), np.where(y, -1, 1)) for _ in range(3)], axis=1)
+    poor = np.where(rng.random(n) < 0.6, np.where(y, 1, -1), np.where(y, -1, 1))
+    echo = np.stack([np.where(rng.random(n) < 0.02, -poor, poor) for _ in range(4)], axis=1)
+    votes = np.concatenate([good, echo], axis=1)
+    counts = Counter(pack_votes(votes).tolist())
+    table = spark.createDataFrame([(int(k), c) for k, c in counts.items()], "votes long, n long")
+    model = estimate_voters(table, 7)
+    post = posterior(votes, model)
+    majority = ((votes.sum(axis=1) > 0) == y).mean()
+    assert ((post > 0.5) == y).mean() > majority + 0.05 and ((post > 0.5) == y).mean() > 0.93
+    # accuracies of the good voters are recovered, and the copies share their weight
+    assert all(abs(model["table"][v, 1, 2] - 0.9) < 0.05 for v in range(3))
+    assert model["weights"][:3].min() > 0.8 and model["weights"][3:].sum() < 2
+    # by hand, for one text
+    odds = math.log(model["prior"] / (1 - model["prior"])) + sum(model["weights"][v] * math.log(model["table"][v, 1, votes[0, v] + 1] / model["table"][v, 0, votes[0, v] + 1]) for v in range(7))
+    assert post[0] == pytest.approx(1 / (1 + math.exp(-odds)))
+
+
+def test_toxicity_votes_and_scores_against_brute_force(spark):
+    """Votes and scores of a text from its plain words."""
+    import numpy as np
+    import pyarrow as pa
+
+    from hopframe.llm import toxicity as X
+    from hopframe.llm.textcore import LOWER_CODES, NOT_LETTER, U64, blocks, span_hashes
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["Idiot", "you", "MORON", "stones!", "grubbaf", "grub", "scheiße", "dich", "x1y", "été,"]) for _ in range(rng.randrange(0, 14))) for _ in range(60)] + ["", "ÜBER", "YOU SCUM"]
+    lexicons = [np.array([5, 77]), *(np.zeros(0, np.int64) for _ in range(X.MINED - 1))]
+    name = lambda w, k: int((span_hashes(np.frombuffer(w, np.uint8), np.zeros(1, np.int64), np.array([len(w)]), LOWER_CODES)[0] ^ U64(k)) % U64(X.SLOTS))
+    found = [bytes(w) for t in texts for w in re.findall(rb"[A-Za-z\x80-\xff]+", t.encode())]
+    lexicons[X.GROUPS] = np.unique([name(w[:4], 4) for w in found if w.lower().startswith(b"grub")])
+    weights = np.zeros(X.SLOTS)
+    weights[lexicons[X.GROUPS]] = 1.5
+    votes, scores = [], []
+    for block in blocks(pa.array(texts), space=NOT_LETTER):
+        slots = X.slots_of(block)
+        votes += X.votes_of(block, slots, lexicons).tolist()
+        scores += X.raw_scores(block, slots, weights).tolist()
+    for t, v, s in zip(texts, votes, scores):
+        w = [x.decode().translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in re.findall(rb"[A-Za-z\x80-\xff]+", t.encode())]
+        raw = t.encode()
+        insults = [any(x in ws for ws in X.LEXICONS.values()) for x in w]
+        shout = sum(65 <= c <= 90 for c in raw) / max(len(raw), 1)
+        marks = raw.count(b"!")
+        want = [*[0] * X.GROUPS, int(any(x.startswith("grub") for x in w)), *[0] * (X.MINED - X.GROUPS - 1), *[int(any(x in ws for x in w)) for ws in X.LEXICONS.values()]]
+        want += [1 if shout > 0.3 else -1 if shout < 0.1 else 0, 1 if marks * 50 > max(len(w), 1) else -1 if not marks else 0, int(any(insults[i] and (i and w[i - 1] in X.YOU or i + 1 < len(w) and w[i + 1] in X.YOU) for i in range(len(w))))]
+        assert v == want
+        assert s == pytest.approx(1.5 * len({x[:4] for x in w if x.startswith("grub")}))
+    assert (X.unpack_votes(X.pack_votes(np.array(votes)), X.VOTERS) == np.array(votes)).all()
 
 
 def test_cotraining(spark):
@@ -379,6 +435,100 @@ def test_cotraining(spark):
     assert {r["score"] for r in score_quality(docs, labelled(spark, [], "quality")).collect()} == {0.5}
 
 
+def test_quality_features_and_scores_against_brute_force(spark, docs, rows):
+    """Features from plain text handling, scores from the fitted numbers by hand."""
+    import numpy as np
+
+    from hopframe.llm import cotraining as Q
+    from hopframe.llm.quality_rules import CLASS_OF, CLASSES, _common_table
+    from hopframe.llm.textcore import LOWER_CODES, span_hashes
+
+    common = set(_common_table()[0].tolist())
+    name = lambda w: int(span_hashes(np.frombuffer(w, np.uint8), np.zeros(1, np.int64), np.array([len(w)]), LOWER_CODES)[0])
+    symbol = CLASSES.index("symbol")
+
+    def shapes(text):
+        raw = (text or "").encode()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        low, n = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in w], max(len(raw), 1)
+        out = [sum(CLASS_OF[c] == k for c in raw) / n for k in range(len(CLASSES))]
+        if not w:
+            return out + [0.0] * (len(Q.SHAPES) - len(CLASSES))
+        lines, seen, dup = (text or "").split("\n"), set(), 0
+        for line in lines:
+            if WORDS.search(line):
+                dup += line in seen
+                seen.add(line)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        return out + [raw.count(b"!") / n, raw.count(b"|") / n, 1 - len(set(grams)) / len(grams) if grams else 0, dup / len(lines), sum(a == b for a, b in zip(low, low[1:])) / max(len(w) - 1, 1), len(set(low)) / len(w), math.log1p(len(w)), sum(map(len, w)) / len(w), sum(name(x) in common for x in low) / len(w), sum(CLASS_OF[x[-1]] == symbol for x in w) / len(w), sum(any(CLASS_OF[c] == symbol for c in x) for x in w) / len(w)]
+
+    labels = labelled(spark, [(i, int(i % 5 != 0)) for i in range(64)], "quality")
+    features = Q.quality_features(docs, labels)
+    seen = features.collect()
+    want = Counter((i, tuple(np.float32(shapes(t)).round(4).tolist())) for i, t, *_ in rows)
+    assert Counter((r["doc_id"], tuple(np.float32(r["shapes"]).round(4).tolist())) for r in seen) == want
+    assert {r["doc_id"] for r in seen if r["label"] is None} == {i for i, *_ in rows} - set(range(64))
+    model = Q.fit_quality(features)
+    assert all(np.array_equal(a, b) for a, b in zip(model["models"], Q.fit_quality(features)["models"]))  # reruns agree
+    got = Counter((r["doc_id"], round(r["score"], 9)) for r in Q.score_quality(docs, labels).collect())
+    hand = Counter()
+    for r in seen:
+        at, odds = 0, [0.0, 0.0]
+        for j, e in enumerate(model["edges"]):
+            odds[0] += model["models"][0][at + sum(x <= np.float32(r["shapes"][j]) for x in e)]
+            at += len(e) + 1
+        base = 0
+        for k, n in ((Q._slot(r["lang"], Q.META[0]), Q.META[0]), (Q._slot(r["source"], Q.META[1]), Q.META[1]), (0 if r["n_chars"] is None else 1 + min(int(math.log2(max(r["n_chars"], 1))), 22), Q.META[2])):
+            odds[1] += model["models"][1][base + k]
+            base += n
+        both = [a * (o + m[-1]) + b for o, m, (a, b) in zip(odds, model["models"], model["scales"])]
+        hand[r["doc_id"], round(1 / (1 + math.exp(-(both @ model["both"][:-1] + model["both"][-1]))), 9)] += 1
+    assert got == hand
+
+
+def test_views_teach_each_other_from_the_whole_pool(spark):
+    """Labels cover one source only; the other sources' texts are learned from pool rows that the text view is sure of."""
+    from hopframe.llm import cotraining as Q
+
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice("the of and water stone house runs over green hill".split()) for _ in range(n))
+    junk = lambda n: " ".join(rng.choice(("BUY!!", "a | b", "###", "x***")) for _ in range(n))
+    rows = [(i, junk(60) if i % 3 == 0 else say(60), "en", "lab") for i in range(600)] + [(i, junk(50) if i % 2 else say(50), "en", "spam" if i % 2 else "news") for i in range(600, 1900)]
+    labels = labelled(spark, [(i, int(i % 3 != 0)) for i in range(600)], "quality")
+    features = Q.quality_features(frame(spark, rows), labels)
+    gap = lambda m: (lambda w: w[16 + Q._slot("news", 64)] - w[16 + Q._slot("spam", 64)])(m["models"][1])
+    assert gap(Q.fit_quality(features, rounds=0)) == pytest.approx(0, abs=1e-6)
+    assert gap(Q.fit_quality(features, rounds=2, per_round=100)) > 0.5
+    edges = Q.fit_quality(features, rounds=0)["edges"]
+    import numpy as np
+
+    models = Q.fit_quality(features, rounds=0)["models"]
+    passed = Q._confident(features.where("label is null"), models, edges, np.zeros(0, np.int64), 100)
+    assert [t.num_rows for t in passed[:2]] == [100, 100]
+
+
+def test_rates_against_an_independent_solver(spark):
+    """The multipliers meet the targets of sources under their cap, by bisection over the same sizes."""
+    from hopframe.llm.mixing import MOST_COPIES, balance, capped_targets
+
+    rng = random.Random(5)
+    sizes = {k: [rng.randrange(1, 900) for _ in range(n)] for k, n in enumerate((300, 80, 20))}
+    totals = [float(sum(v)) for v in sizes.values()]
+    targets = capped_targets(totals, [5.0, 2.0, 1.0], 1.5 * sum(totals))
+    histogram = spark.createDataFrame([(k, s, n) for k, v in sizes.items() for s, n in Counter(v).items()], "source_no int, size long, n long")
+    sources = spark.createDataFrame([(k, int(totals[k]), totals[k] / len(v), targets[k]) for k, v in sizes.items()], "source_no int, total long, mean double, target double")
+    got = {r["source_no"]: r["a"] for r in balance(histogram, sources).collect()}
+    assert any(targets[k] < 2 * totals[k] for k in sizes)
+    for k, v in sizes.items():
+        if targets[k] >= 2 * totals[k]:
+            continue
+        rated = lambda a: sum(s * MOST_COPIES / (1 + math.exp(-a * s * len(v) / totals[k])) for s in v)
+        lo, hi = -60.0, 60.0
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if rated((lo + hi) / 2) < targets[k] else (lo, (lo + hi) / 2)
+        assert got[k] == pytest.approx(lo, abs=1e-5)
+
+
 def test_empty_tables(spark):
     from hopframe.llm import cotraining, mixing, neardup, packing, quality_rules, secrets, substring, toxicity
 
