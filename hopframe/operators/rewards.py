@@ -2,7 +2,7 @@
 
 ``turns`` hold one row for each (traj, round): query, sub_goal, n_words, retrieved (fact
 numbers seen), selected (structs of known and fact), can_answer, f1, parse_error (role or
-null), required (facts of the trajectory).
+null), required (facts of the trajectory) and, if some roles did not act, generated_roles.
 """
 
 from __future__ import annotations
@@ -20,18 +20,21 @@ def _when(c: Column, value: float) -> Column:
 
 
 def with_novelty(turns: DataFrame) -> DataFrame:
-    """``novel``: the first round of a non-empty normalised query in its trajectory."""
-    norm = X.normalize_key(F.coalesce("query", F.lit("")))
+    """``says``: the query has words beside articles; ``novel``: it says so for the first time in its trajectory."""
     w = Window.partitionBy("traj", "_norm").orderBy("round")
-    return turns.withColumn("_norm", norm).withColumn("novel", (F.col("_norm") != "") & (F.row_number().over(w) == 1)).drop("_norm")
+    t = turns.withColumn("_norm", X.normalize_reward("query")).withColumn("says", F.col("_norm") != "")
+    return t.withColumn("novel", F.col("says") & (F.row_number().over(w) == 1)).drop("_norm")
+
+
+def _filled(c: str) -> Column:
+    return X.strip(F.coalesce(F.col(c), F.lit(""))) != ""
 
 
 def query_reward(turns: DataFrame) -> DataFrame:
     """Per trajectory: query_reward, query_cost and query_repeat."""
     t = with_novelty(turns)
-    asked = F.coalesce(F.col("query"), F.lit("")) != ""
-    value = _when(asked & (F.coalesce("sub_goal", F.lit("")) != ""), 0.25) + _when(F.col("n_words").between(3, 32), 0.25) + F.when(F.col("novel"), 0.15).otherwise(-0.5)
-    return t.groupBy("traj").agg(F.sum(value).alias("query_reward"), F.sum(_when(asked, -0.1)).alias("query_cost"), F.sum(_when(asked & ~F.col("novel"), -0.2)).alias("query_repeat"))
+    value = _when(_filled("query") & _filled("sub_goal"), 0.25) + _when(F.col("n_words").between(3, 32), 0.25) + F.when(F.col("novel"), 0.15).otherwise(-0.5)
+    return t.groupBy("traj").agg(F.sum(value).alias("query_reward"), F.sum(_when(F.col("says"), -0.1)).alias("query_cost"), F.sum(_when(F.col("says") & ~F.col("novel"), -0.2)).alias("query_repeat"))
 
 
 def new_facts(turns: DataFrame, facts: Column, out: str) -> DataFrame:
@@ -56,21 +59,32 @@ def evidence_by_round(turns: DataFrame) -> DataFrame:
 
 
 def action_rewards(turns: DataFrame) -> DataFrame:
-    """(traj, round, role, reward) for the three roles."""
+    """(traj, round, role, reward) for the roles that acted.
+
+    Without any supporting fact there is no supervision: neither waiting nor answering is
+    rewarded or punished for its evidence.
+    """
     t = with_novelty(turns)
     t = t.join(new_facts(turns, F.col("retrieved"), "gained"), ["traj", "round"], "left").join(evidence_by_round(turns), ["traj", "round"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     so_far = Window.partitionBy("traj").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("covered", F.sum(zero("covers")).over(so_far))
-    asked = F.coalesce(F.col("query"), F.lit("")) != ""
     error = lambda role: _when(F.col("parse_error") == role, -1.0)
     n = F.size("selected")
-    query = _when(asked & (F.coalesce("sub_goal", F.lit("")) != ""), 0.25) + _when(F.col("n_words").between(3, 32), 0.25) + F.when(F.col("novel"), 0.15).otherwise(-0.5) + _when(asked, -0.1) + 0.5 * zero("gained") + error("query_retriever")
+    query = _when(_filled("query") & _filled("sub_goal"), 0.25) + _when(F.col("n_words").between(3, 32), 0.25) + F.when(F.col("novel"), 0.15).otherwise(-0.5) + _when(F.col("says"), -0.1) + 0.5 * zero("gained") + error("query_retriever")
     evidence = _when(n == 0, -0.25) - 0.15 * F.greatest(n - 5, F.lit(0)) - 0.5 * zero("unknown") - 0.1 * zero("irrelevant") + 1.0 * zero("covers") - 0.1 * zero("again") + error("update_evidence")
-    enough, can = F.col("covered") >= F.col("required"), F.coalesce("can_answer", F.lit(False))
-    answer = F.when(can, 2 * F.col("f1")).otherwise(0.0) + _when(~can & ~enough, 0.25) + _when(~can & enough, -0.5) + F.when(can & ~enough, F.when(F.col("f1") > 0, -0.25).otherwise(-1.0)).otherwise(0.0) + error("answer")
+    can, taught = F.coalesce("can_answer", F.lit(False)), F.col("required") > 0
+    enough, short = taught & (F.col("covered") >= F.col("required")), taught & (F.col("covered") < F.col("required"))
+    answer = F.when(can, 2 * F.col("f1")).otherwise(0.0) + _when(~can & short, 0.25) + _when(~can & enough, -0.5) + F.when(can & short, F.when(F.col("f1") > 0, -0.25).otherwise(-1.0)).otherwise(0.0) + error("answer")
     roles = F.array(*[F.struct(F.lit(r).alias("role"), v.alias("reward")) for r, v in (("query_retriever", query), ("update_evidence", evidence), ("answer", answer))])
-    return t.select("traj", "round", F.explode(roles).alias("a")).select("traj", "round", "a.role", "a.reward")
+    acted = F.filter(roles, lambda a: F.array_contains("generated_roles", a["role"])) if "generated_roles" in turns.columns else roles
+    return t.select("traj", "round", F.explode(acted).alias("a")).select("traj", "round", "a.role", "a.reward")
+
+
+def with_credit(actions: DataFrame, rewards: DataFrame) -> DataFrame:
+    """``actions`` with the ``local`` reward of their (traj, role, round), 0 where there is none."""
+    own = rewards.select("traj", "role", "round", F.col("reward").alias("local"))
+    return actions.join(own, ["traj", "role", "round"], "left").withColumn("local", F.coalesce("local", F.lit(0.0)))
 
 
 def terminal_parts(turns: DataFrame) -> DataFrame:
@@ -81,11 +95,15 @@ def terminal_parts(turns: DataFrame) -> DataFrame:
     return t.withColumn("can", F.coalesce("can", F.lit(False))).withColumn("f1", F.when(F.col("can"), F.col("f1")).otherwise(0.0))
 
 
+def _coverage(need: Column) -> Column:
+    return F.when(need > 0, F.least(F.lit(1.0), F.col("covered") / need)).otherwise(0.0)
+
+
 def terminal_reward(turns: DataFrame) -> DataFrame:
     """2 F1 + coverage of all facts + premature - errors."""
     t = terminal_parts(turns)
     short = F.col("can") & (F.col("covered") < F.col("required"))
-    value = 2 * F.col("f1") + F.least(F.lit(1.0), F.col("covered") / F.greatest("required", F.lit(1))) + F.when(short, F.when(F.col("f1") > 0, -0.25).otherwise(-1.0)).otherwise(0.0) - F.col("errors")
+    value = 2 * F.col("f1") + _coverage(F.col("required")) + F.when(short, F.when(F.col("f1") > 0, -0.25).otherwise(-1.0)).otherwise(0.0) - F.col("errors")
     return t.select("traj", value.alias("terminal"))
 
 
@@ -99,7 +117,7 @@ def total_reward(turns: DataFrame) -> DataFrame:
     t = terminal_parts(turns).join(query_reward(turns), "traj").join(evidence, "traj")
     need = F.least("required", F.lit(2))
     short = F.col("can") & (F.col("covered") < need) & (need >= 2)
-    value = 0.25 * F.col("query_reward") + 0.25 * F.col("evidence_reward") + 2 * F.col("f1") + F.least(F.lit(1.0), F.col("covered") / F.greatest(need, F.lit(1))) + _when(F.col("hit"), 0.5) + _when(F.col("errors") == 0, 0.25) + F.col("query_cost") + F.col("query_repeat") + F.when(short, F.when(F.col("f1") > 0, -0.25).otherwise(-1.0)).otherwise(0.0) - F.col("errors")
+    value = 0.25 * F.col("query_reward") + 0.25 * F.col("evidence_reward") + 2 * F.col("f1") + _coverage(need) + _when(F.col("hit"), 0.5) + _when(F.col("errors") == 0, 0.25) + F.col("query_cost") + F.col("query_repeat") + F.when(short, F.when(F.col("f1") > 0, -0.25).otherwise(-1.0)).otherwise(0.0) - F.col("errors")
     return t.select("traj", value.alias("total"))
 
 
@@ -116,10 +134,12 @@ def advantage(value: Column, *group: str) -> Column:
     return F.when(F.count(value).over(w) <= 1, 0.0).otherwise((value - mean) / F.sqrt(F.greatest(F.var_pop(value).over(w), F.lit(EPS))))
 
 
-def action_advantage(rows: DataFrame, weight: float = 0.5, bucket: tuple[str, ...] = ("grp", "role", "round")) -> DataFrame:
-    """w * local + (1 - w) * terminal, both normalised within (group, role, round)."""
-    if not 0 <= weight <= 1:
-        raise ValueError("weight must be in [0, 1]")
+def action_advantage(rows: DataFrame, weights: dict[str, float] | None = None, default: float = 0.5, bucket: tuple[str, ...] = ("grp", "role", "round")) -> DataFrame:
+    """w * local + (1 - w) * terminal, both normalised within (group, role, round); ``weights`` holds w by role."""
+    weights = weights or {}
+    if not all(0 <= w <= 1 for w in (*weights.values(), default)):
+        raise ValueError("weights must be in [0, 1]")
+    weight = F.coalesce(*[F.when(F.col("role") == r, F.lit(float(w))) for r, w in weights.items()], F.lit(float(default)))
     return rows.withColumn("advantage", weight * advantage(F.col("local"), *bucket) + (1 - weight) * advantage(F.col("terminal"), *bucket))
 
 

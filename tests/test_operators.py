@@ -57,7 +57,8 @@ def test_phrases_match_python(spark):
     [
         ("answer", '{"can_answer":"TRUE","answer":"a","rationale":"r"}', True), ("answer", '{"can_answer":1,"answer":"a","rationale":"r"}', False), ("answer", '{"can_answer":false,"answer":null,"rationale":"r"}', True), ("answer", '{"can_answer":true,"answer":null,"rationale":"r"}', False), ("answer", '{"can_answer":"yes","answer":"a","rationale":"r"}', False),
         ("update_evidence", '{"selected_passage_ids":[0,1],"rationale":"r"}', True), ("update_evidence", '{"selected_passage_ids":["0"],"rationale":"r"}', False), ("update_evidence", '{"selected_passage_ids":[true],"rationale":"r"}', False), ("update_evidence", '{"selected_passage_ids":null,"rationale":"r"}', False), ("update_evidence", "[1]", False),
-        ("query_retriever", '{"sub_goal":"s","query":"q"}', True), ("query_retriever", '{"query":"q"}', False), ("query_retriever", "{bad", False),
+        ("query_retriever", '{"sub_goal":"s","query":"q"}', True), ("query_retriever", '{"query":"q"}', False), ("query_retriever", '{"sub_goal":" ","query":"q"}', False), ("query_retriever", '{"sub_goal":"s","query":""}', True),
+        ("update_evidence", '{"selected_passage_ids":[]}', True), ("update_evidence", '{"selected_passage_ids":[0],"rationale":null}', False), ("answer", '{"can_answer":true,"answer":"a"}', True), ("answer", '{"can_answer":false}', False), ("query_retriever", "{bad", False),
     ],
 )
 def test_parse_actions(spark, role, body, ok):
@@ -117,10 +118,10 @@ def test_single_hop_total(spark):
 
 def test_advantages_and_loss(spark):
     rows = spark.createDataFrame([(0, "r", 0, 1.0, 4.0), (0, "r", 0, 3.0, 2.0), (1, "r", 0, 5.0, 5.0)], "grp int, role string, round int, local double, terminal double")
-    got = sorted(r["advantage"] for r in W.action_advantage(rows, 0.75).collect())
+    got = sorted(r["advantage"] for r in W.action_advantage(rows, default=0.75).collect())
     assert got == pytest.approx([-0.5, 0.0, 0.5])
     with pytest.raises(ValueError):
-        W.action_advantage(rows, 1.5)
+        W.action_advantage(rows, {"answer": 1.5})
     reward = spark.createDataFrame([(True, True, True, 1, 0)], "match boolean, supported boolean, well_formed boolean, turns int, errors int")
     assert W.reward_v0(reward).first()["reward"] == pytest.approx(3.95)
 
@@ -140,7 +141,7 @@ def test_loop_ends(spark):
     samples = spark.createDataFrame([(1, "who", ["T"], 2, "A1"), (2, "", [], 9, "B")], "qid long, question string, titles array<string>, hop_count int, gold string")
     turns = L.run_loop(samples, lambda d: d.withColumn("observed", F.when(F.col("query") != "", F.array(F.lit("Evidence A1"))).otherwise(F.array().cast("array<string>")))).collect()
     first = sorted((r for r in turns if r["traj"] == 1), key=lambda r: r["round"])
-    assert [r["query"] for r in first] == ["T who", "who"] and first[-1]["answer"] == "A1" and first[-1]["evidence"] == ["Evidence A1"] * 2
+    assert [r["query"] for r in first] == ["T who", "T who"] and first[-1]["answer"] == "A1" and first[-1]["evidence"] == ["Evidence A1"] * 2
     assert len([r for r in turns if r["traj"] == 2]) == 3 and all(r["evidence"] == [] for r in turns if r["traj"] == 2)
 
 
