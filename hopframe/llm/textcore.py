@@ -44,9 +44,9 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base**i`` and ``base**-i`` modulo 2**64 for i < n (kept per process)."""
+    """``base**i`` and ``base**-i`` modulo 2**64 for i < n (kept per process, and small on the driver, as they travel with its functions)."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, BLOCK_BYTES + 4096)
+        size = max(n + n // 8, 1024)
         for name, base in (("up", _BASE), ("down", _INV_BASE)):
             seq = np.full(size, U64(base))
             seq[0] = 1
