@@ -59,6 +59,13 @@ def test_template_texts_go(spark):
     assert all(got[40 + i] == "only this" for i in range(4)) and got[50] == "Start Shop Contact kept"
 
 
+def test_elements_with_unpaired_quotes_are_no_text():
+    from hopframe.llm.htmltext import main_text
+
+    assert main_text("<article><p>one <a href=\"x>two</a> three</p><p title=it's>four</p></article>", None) == "one two three four"
+    assert main_text("<article><p>a < b and <b class='x>c</b></p></article>", None) == "a < b and c"
+
+
 def test_copies_are_found(spark):
     from hopframe.llm.images import LEAST_POINTS, cropped_and_relit, describe, drawn_vectors, find_copies
 
