@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or on one machine (tests) an own one where it is unset."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or ""
     if not where:
         if sc.getCheckpointDir() is None:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="hopframe-"))
         where = sc.getCheckpointDir()
     return where.rstrip("/")
