@@ -5,13 +5,14 @@
    sample (index, value) flips one bit of a 2048-bit bitmap, so the population count of the
    XOR of two sketches estimates how many samples differ.
 2. Rows with one and the same set form a node; only nodes take part further on.
-3. Within each band bucket every node is proposed to one hub, which each bucket draws by a
-   hash of its own, so a node of a large group meets many hubs (linear in the bucket, no
-   pairs inside it).  Sizes and sketches (4.5 deviations below the threshold) drop pairs;
-   the rest are confirmed on the full sets.
-4. Star contraction gives components.  Nodes apart from their bucket's hub meet four more
-   hubs of each bucket.  Those still apart are at last proposed to all nodes of other
-   components in their buckets (sketch first, then full sets), so hubs lose no link.
+3. Each band bucket draws one hub by a hash of its own, and every node is proposed to the
+   hubs of a fourth of its buckets, drawn by hash (linear in the bucket, no pairs inside it).
+   Sizes and sketches (4.5 deviations below the threshold) drop pairs; the rest are confirmed
+   on the full sets.
+4. Star contraction gives components.  Nodes apart from their bucket's hub meet that hub, if
+   they didn't yet, and four more of each bucket.  Those still apart are at last proposed to
+   all nodes of other components in their buckets (sketch first, then full sets), so hubs
+   lose no link and a node that already is in its hub's component isn't compared again.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ ROWS = 5
 SAMPLES = 512
 SKETCH_BITS = 2048
 MORE_HUBS = 4
+#: one in so many (node, bucket) rows is proposed at first, the others only where still apart
+FIRST_SHARE = 4
 #: ids up to which they are sent to the texts; beyond it texts and ids are dealt by id
 MOST_SENT = 1_000_000
 MISS = 1e-6
@@ -145,6 +148,10 @@ def _drawn(no: int):
     return F.min(F.struct(F.xxhash64("key", "node", F.lit(no)).alias("draw"), "node"))
 
 
+def _early():
+    return F.pmod(F.xxhash64("node", "key", F.lit("first")), F.lit(FIRST_SHARE)) == 0
+
+
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
@@ -206,20 +213,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         """Bucket rows with the node's root and whether the hub has another."""
         own = shared.join(roots, "node", "left").select("key", "node", "hub", F.coalesce("root", "node").alias("root"))
         of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hr"))
-        return own.join(of_hub, "hub", "left").select("key", "node", "root", (F.col("root") != F.coalesce("hr", "hub")).alias("apart"))
+        return own.join(of_hub, "hub", "left").select("key", "node", "hub", "root", (F.col("root") != F.coalesce("hr", "hub")).alias("apart"))
 
-    tried = kept(near(_ordered(shared.where("node <> hub"), "node", "hub")), "pairs")
+    tried = kept(near(_ordered(shared.where("node <> hub").where(_early()), "node", "hub")), "pairs")
     edges = kept(_confirmed(tried, sets_of(tried), percent), "links")
     roots = kept(connected_components(edges), "roots")
 
     now = kept(placed(roots), "placed")
     open_keys = now.where("apart").select("key").distinct()
-    draws = [_drawn(i + 1).alias(f"h{i}") for i in range(MORE_HUBS)]
+    draws = [_drawn(i).alias(f"h{i}") for i in range(MORE_HUBS + 1)]
     more = now.join(open_keys, "key", "left_semi").groupBy("key").agg(*draws)
-    more = more.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}.node" for i in range(MORE_HUBS)]))).alias("hub"))
-    askers = now.where("apart").select("key", F.col("node").alias("u")).join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na")), "u")
+    more = more.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}.node" for i in range(MORE_HUBS + 1)]))).alias("hub"))
+    askers = now.where("apart").select("key", F.col("node").alias("u"), F.when(_early(), F.col("hub")).alias("met_hub")).join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na")), "u")
     drawn = more.join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb")), "hub").withColumnRenamed("hub", "v")
-    met = _ordered(askers.join(drawn, "key").where("u <> v").where(close), "u", "v")
+    met = _ordered(askers.join(drawn, "key").where("u <> v and not (v <=> met_hub)").where(close), "u", "v")
     met = kept(met.join(tried, ["u", "v"], "left_anti"), "pairs")
     if not met.isEmpty():
         edges = kept(edges.union(_confirmed(met, sets_of(met), percent)), "links")
