@@ -76,7 +76,7 @@ print("sizes", [(r["sent_id"], len(r["entity"])) for r in I.mentions(rows).order
 
 def test_entity_edges(spark):
     """Both forms count as str.count does, in time that grows with a long passage, not with passage times entities."""
-    names = ["".join("ABCDEFGHIJ"[int(d)].lower() for d in str(i)).capitalize() for i in range(20000)]
+    names = ["".join("ABCDEFGHIJ"[int(d)].lower() for d in str(i)).capitalize() for i in range(1, 20001)]
     long = " x. ".join(names) + " x. Aba Ababa x. Abababa"
     rows = [(1, "Anna saw Ann. AnnAnn met Ann Bo. No ann"), (2, ""), (3, "none here"), (4, long)]
     passages = spark.createDataFrame(rows, "passage long, body string")
@@ -84,7 +84,7 @@ def test_entity_edges(spark):
     assert own == {(r["passage"], r["entity"]): (r["n"], round(r["weight"], 9)) for r in I.entity_edges(I.mentions(passages), passages).collect()}
     body = rows[0][1]
     assert {e: n for (p, e), (n, _) in own.items() if p == 1} == {e: body.count(e) for e in ("Anna", "Ann", "AnnAnn", "Ann Bo", "No")}
-    some = (*names[1::997], "Aba Ababa", "Abababa")
+    some = (*names[::997], "Aba Ababa", "Abababa")
     assert {e: own[4, e][0] for e in some} == {e: long.count(e) for e in some}
     assert I.occurrence_counts("ABABABA ABA", ["ABA", "AB", "BA ", ""]) == [3, 4, 1, 0]
     assert {p for p, _ in own} == {1, 4} and len([k for k in own if k[0] == 4]) == len({*names, "Aba Ababa", "Abababa"})
@@ -239,6 +239,18 @@ def test_hybrid_covers_every_passage(spark):
     assert len(dense) == n and set(by["graph"]) == {p for p, x in dense.items() if x > least + 1e-12 or p == 3}
 
 
+def test_hybrid_whole_graph_and_joins_agree(spark, monkeypatch):
+    passages = spark.createDataFrame([(i, f"Near Zurich{i % 9} we saw Ab{chr(97 + i % 26)} with stone{i % 13}. So Ab{chr(97 + i % 7)} met Bern{i % 5} Road. ..." if i % 4 else f"stone{i} only") for i in range(80)] + [(900, ""), (901, "...")], "passage long, body string")
+    questions = spark.createDataFrame([(1, "Is Zurich near Abc?"), (2, "which stone77 lies there"), (3, "Did Abd meet Bern Road?"), (4, "?")], "q long, question string")
+    joined = {(r["q"], r["passage"]): (r["how"], round(r["score"], 9)) for r in R.hybrid_retrieve(questions, passages, 1000, most_edges=-1).collect()}
+    monkeypatch.setattr(R, "personalized_pagerank", None)  # questions times nodes rows
+    whole = R.hybrid_retrieve(questions, passages, 1000).collect()
+    assert {(r["q"], r["passage"]): (r["how"], round(r["score"], 9)) for r in whole} == joined and {q for q, _ in joined} == {1, 2, 3}
+    for q in (1, 2, 3):
+        rows = sorted((r for r in whole if r["q"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and rows == sorted(rows, key=lambda r: (-r["score"], r["passage"]))
+
+
 def test_comparison_entities_of_whole_documents(spark, tmp_path):
     from hopframe.plans.registry import QUERIES
 
