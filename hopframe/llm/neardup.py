@@ -3,12 +3,13 @@
 1. One Python pass turns every whole text into its set of word shingles (64-bit hashes),
    512 MinHash samples, the band keys of the first ``bands * rows``, and an odd sketch: each
    sample (index, value) flips one bit of a 2048-bit bitmap, so the population count of the
-   XOR of two sketches estimates how many samples differ.
+   XOR of two sketches estimates how many samples differ.  A second odd sketch takes the whole
+   set: there the count never exceeds the shingles that only one of two sets holds.
 2. Rows with one and the same set form a node; only nodes take part further on.
 3. Each band bucket draws one hub by a hash of its own, and every node is proposed to the
    hubs of a fourth of its buckets, drawn by hash (linear in the bucket, no pairs inside it).
-   Sizes and sketches (4.5 deviations below the threshold) drop pairs; the rest are confirmed
-   on the full sets.
+   Sizes, the sets' odd sketches (both lose no link) and those of the samples (4.5 deviations
+   below the threshold) drop pairs; the rest are confirmed on the full sets.
 4. Star contraction gives components.  Nodes apart from their bucket's hub meet that hub, if
    they didn't yet, and four more of each bucket.  Those still apart are at last proposed to
    all nodes of other components in their buckets (sketch first, then full sets), so hubs
@@ -32,6 +33,7 @@ from hopframe.llm.textcore import U64, blocks, list_array, mix, window_hashes
 ROWS = 5
 SAMPLES = 512
 SKETCH_BITS = 2048
+LANES = SKETCH_BITS // 64
 MORE_HUBS = 4
 #: one in so many (node, bucket) rows is proposed at first, the others only where still apart
 FIRST_SHARE = 4
@@ -88,21 +90,25 @@ def signer(words: int, bands: int, rows: int):
     band_no = mix(np.arange(1, bands + 1, dtype=U64) * U64(0xA0761D6478BD642F))
     index = np.arange(samples, dtype=U64) << U64(32)
 
+    def odd(items: np.ndarray) -> np.ndarray:
+        bits = np.bincount((items % U64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+        return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
     def sign(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Band keys, and the odd sketch of the samples followed by that of the set."""
         low = (grams >> U64(32)).astype(np.uint32)
         best = np.full(samples, 0xFFFFFFFF, np.uint32)
         for i in range(0, len(low), CHUNK):
             np.minimum(best, (low[i : i + CHUNK, None] * mult + plus).min(axis=0), out=best)
         keys = mix(mix(best[: bands * rows].astype(U64).reshape(bands, rows) * weights).sum(axis=1) + band_no)
-        bits = np.bincount((mix(best.astype(U64) | index) % U64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-        return keys.view(np.int64), np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+        return keys.view(np.int64), np.concatenate([odd(mix(best.astype(U64) | index)), odd(mix(grams))])
 
     return sign
 
 
 def _signatures(words: int, bands: int, rows: int):
     sign = signer(words, bands, rows)
-    lanes = SKETCH_BITS // 64
+    lanes = 2 * LANES
 
     def run(batches):
         for batch in batches:
@@ -139,8 +145,21 @@ def _sets(words: int):
     return run
 
 
-def _sketch_near(a: str, b: str, limit: int):
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0)) <= limit
+def _differing(a: str, b: str, first: int):
+    """Bits that differ between two sketches, from lane ``first`` on."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(first, first + LANES)), F.lit(0))
+
+
+def _near(percent: int, limit: int):
+    """Whether two nodes (sketches sa, sb; sizes na, nb) may be linked.
+
+    Sets that differ in d shingles meet 100 * intersection >= percent * union if and only if
+    (100 + percent) * d <= (100 - percent) * (na + nb), and their odd sketches differ in d
+    bits at most, so this bound and that of the sizes lose no link.
+    """
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    sets = _differing("sa", "sb", LANES) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    return sizes & sets & (_differing("sa", "sb", 0) <= limit)
 
 
 def _drawn(no: int):
@@ -189,7 +208,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sketches = ids.select("node", "n_shingles", "sketch").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     sketches = written(sketches, "sketches")
     keys_of = keyed.select("node", "keys").dropDuplicates(["node"])
-    close = _sketch_near("sa", "sb", limit) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    close = _near(percent, limit)
 
     def near(pairs: DataFrame) -> DataFrame:
         a = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))

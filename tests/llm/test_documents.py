@@ -107,6 +107,27 @@ def test_hub_rounds_lose_no_link(spark):
     assert got == {i: c for i, _, c in components(chain, 3, 85)}
 
 
+def test_texts_just_under_the_similarity_are_not_paired(spark, monkeypatch):
+    """A group whose pairs nearly all lie at 0.80-0.84: the full sets of a few pairs only are fetched, and no link is lost."""
+    from hopframe.llm import neardup
+
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(300)]
+    group = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(2, 298), 5):
+            words[at] = f"e{i}x{at}"
+        group.append((i, " ".join(words), "en", "a"))
+    asked, confirmed = [], neardup._confirmed
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, *rest: (asked.append(pairs.count()), confirmed(pairs, *rest))[1])
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, group), 3, 85).collect()}
+    assert got == {i: c for i, _, c in components(group, 3, 85)}
+    sets = [shingles(t, 3) for _, t, *_ in group]
+    links = sum(100 * len(a & b) >= 85 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert 0 < links < 200 and sum(asked) <= 4 * links, (links, asked)
+
+
 def brute_removed(rows, width):
     seen, out = set(), {}
     order = sorted({(r[0] if r[0] is not None else math.inf, r[1] or "") for r in rows})
