@@ -59,6 +59,56 @@ def test_template_texts_go(spark):
     assert all(got[40 + i] == "only this" for i in range(4)) and got[50] == "Start Shop Contact kept"
 
 
+def _told(i):
+    return f"story {i * i} is told here with words of number {i} and more words after it"
+
+
+LAYOUTS = {
+    # containers of one path: only their places differ
+    "plain.net": lambda i: f"<div>Start Shop</div><div><p>{_told(i)}</p></div><div>seen {i} times</div>",
+    # more than two fifths of the free text are the template's
+    "menu.net": lambda i: f"<div class='m1'>{'Start Shop Contact Imprint ' * 6}</div><div class='s1'><p>{_told(i)}</p></div><div class='d1'>seen {i} times</div>",
+    "slash.net": lambda i: f"<div class='a/b'><p>{_told(i)}</p></div><div class='d/1'>seen {i} times</div>",
+}
+
+
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_the_template_finds_the_slot_without_names(spark, tag):
+    """Several hosts and layouts without article, main or telling class names."""
+    from hopframe.llm.htmltext import extract_pages
+
+    rows = [(100 * h + i, f"https://{host}/{i}", f"<html><body>{body(i).replace('div', tag)}</body></html>") for h, (host, body) in enumerate(LAYOUTS.items()) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: _told(i % 100) for i, *_ in rows}
+
+
+def test_classes_are_ordered(spark):
+    """Elements that one page of the host has in another order are no template; those around them and beside them are."""
+    from hopframe.llm.htmltext import deduce_templates, extract_pages
+
+    def html(i):
+        a, b = f"<div class='x1'><p>{_told(i)}</p></div>", f"<div class='x2'>second part {i}</div>"
+        return f"<html><body><div class='k1'>{a + b if i != 7 else b + a}</div><div class='k2'>seen {i}</div></body></html>"
+
+    pages = spark.createDataFrame([(i, f"https://turn.net/{i}", html(i)) for i in range(12)], "no long, url string, html string")
+    marks = [t["mark"] for t in deduce_templates(pages).first()["template"]]
+    assert marks == ["/html", "/html/body", "/html/body/div[class=k1]", "/html/body/div[class=k2]"]
+    got = {r["page_id"]: r["text"] for r in extract_pages(pages, "no").collect()}
+    assert got == {i: f"{_told(i)} second part {i}" if i != 7 else f"second part {i} {_told(i)}" for i in range(12)}
+
+
+def test_the_template_finds_what_the_article_holds(spark):
+    """Pages of the tables without article, nav, footer and the class ad give the same text through the template."""
+    from pyspark.sql import functions as F
+
+    from hopframe.llm.htmltext import extract_pages
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    plain = F.replace(F.regexp_replace("html", "(</?)(article|nav|footer)>", "$1div>"), F.lit('class="ad"'), F.lit('class="q"'))
+    want = {r["page_id"]: r["text"] for r in extract_pages(pages).collect()}
+    assert {r["page_id"]: r["text"] for r in extract_pages(pages.withColumn("html", plain)).collect()} == want
+
+
 def test_elements_with_unpaired_quotes_are_no_text():
     from hopframe.llm.htmltext import main_text
 
